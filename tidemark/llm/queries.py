@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import pii, quality_rules, sharding
+from tidemark.llm import media, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from tidemark.llm.common import train_side
 from tidemark.session import table
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
@@ -16,9 +22,31 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", (~train_side()).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _verdicts(toxicity.score_documents(docs, model), 0.5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op7_quality_rules)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_toxicity, op7_quality_rules, op8_quality_classifier, op9_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
