@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from tidemark.llm import html, media, packing, pii, quality_classifier, quality_rules, sentencepiece, sharding, toxicity
 from tidemark.llm.common import train_side
 from tidemark.session import table
 
@@ -36,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(toxicity.score_documents(docs, model), 0.5)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.codec_report(table(spark, sf_dir, "documents"), PIECE_TOKENIZER)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,9 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_toxicity, op7_quality_rules, op8_quality_classifier, op9_media_columns)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_toxicity, op5_sentencepiece, op7_quality_rules, op8_quality_classifier, op9_media_columns, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -264,19 +265,26 @@ class Scorer:
         c0, c1, c2 = self.model.calibration
         of = lambda s: 1 / (1 + np.exp(-(c0 + c1 * s[:, 0] + c2 * s[:, 1])))
         score = np.full(len(texts), of(np.array([NOTHING]))[0])
+        at, emissions, first = [], [], []
         for i, t in enumerate(texts):
             words = WORD.findall(t)
             self.learn(words)
-            if self.hot.keys().isdisjoint(words):
-                continue
-            first = np.zeros(len(words), bool)
-            first[0] = True
-            odds = log_odds(np.array(self.emissions(words)), first, self.model.trans)
-            score[i] = of(_summary(odds, first))[0]
-            at = np.flatnonzero(odds > 0) if spans else ()
-            if len(at):
-                places = [m.span() for m in WORD.finditer(t)]
-                found[i] = [(*places[k], float(1 / (1 + np.exp(-odds[k])))) for k in at]
+            if not self.hot.keys().isdisjoint(words):
+                at.append(i)
+                first.append(len(emissions))
+                emissions += map(self.hot.get, words, repeat(-CLIP))
+        if not at:
+            return score, found
+        marks = np.zeros(len(emissions), bool)
+        marks[first] = True
+        odds = log_odds(np.array(emissions), marks, self.model.trans)
+        score[at] = of(_summary(odds, marks))
+        if spans:
+            for i, a, b in zip(at, first, [*first[1:], len(emissions)], strict=True):
+                hits = np.flatnonzero(odds[a:b] > 0)
+                if len(hits):
+                    places = [m.span() for m in WORD.finditer(texts[i])]
+                    found[i] = [(*places[k], float(1 / (1 + np.exp(-odds[a + k])))) for k in hits]
         return np.clip(score, 0, 1), found
 
 
