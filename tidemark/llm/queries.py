@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, media, packing, pii, quality_classifier, quality_rules, sentencepiece, sharding, toxicity
+from tidemark.llm import html, jaccard, media, packing, pii, quality_classifier, quality_rules, sentencepiece, sharding, toxicity
 from tidemark.llm.common import train_side
 from tidemark.session import table
 
@@ -40,6 +40,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.codec_report(table(spark, sf_dir, "documents"), PIECE_TOKENIZER)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_toxicity, op5_sentencepiece, op7_quality_rules, op8_quality_classifier, op9_media_columns, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_toxicity, op5_sentencepiece, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier, op9_media_columns, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
