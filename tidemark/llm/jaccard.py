@@ -6,8 +6,9 @@
 2. Chosen paths: each of RUNS runs splits all nodes by the tokens sampled at a few positions. Buckets of
    one node end there. Buckets of up to SMALL are compared by brute force on sketches. Larger ones are
    split again at positions drawn from their path, in expectation 1 / 0.8 of them, so that a pair at the
-   threshold keeps its chance at every level. What is still large after DEPTH levels holds sets that agree
-   in every sampled token; it is compared in random blocks that share pivots, a new dealing for every path.
+   threshold keeps its chance at every level. A bucket that a split leaves nearly whole holds look-alikes;
+   it is compared in random blocks that share pivots, a new dealing for every path, and so are buckets
+   still large after DEPTH levels.
 3. Nodes that look alike, by a bound well below the threshold, form candidate groups (connected
    components). Within each group all pairs of nodes are compared exactly, in blocks of BLOCK by BLOCK
    nodes, each pair of blocks a unit of work of its own. Only counts and spanning edges leave a unit.
@@ -33,7 +34,9 @@ from tidemark.llm.components import components
 
 #: Words of a shingle; the threshold as a fraction.
 WORDS, NUM, DEN = 5, 4, 5
-SKETCH, RUNS, DEPTH, SMALL, BLOCK = 64, 8, 6, 128, 256
+SKETCH, RUNS, DEPTH, SMALL, BLOCK = 64, 8, 12, 128, 256
+#: A bucket that keeps this share of the one above holds look-alikes: splitting it further does not separate them.
+ALONE = 0.75
 #: Sampled tokens that two sketches must share to be compared exactly: 4.5 standard deviations under the threshold.
 ALIKE = 37
 #: Nodes whose ids may be broadcast (12 bytes each); beyond, texts are joined by a shuffle.
@@ -150,21 +153,21 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes that look alike, from all buckets of all runs."""
     first = F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(p), F.get("sketch", F.lit(p))) for r, p in _roots()]))
-    rows = nodes.select("node", first.alias("path"))
+    rows = nodes.select("node", first.alias("path"), F.lit(None).cast("long").alias("above"))
     lists = []
     for depth in range(DEPTH + 1):
         counts = rows.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
-        held = staged(rows.join(counts, F.col("path") == F.col("p")).select("path", "node", "n", "lo", "hi"), f"paths{depth}")
+        held = staged(rows.join(counts, F.col("path") == F.col("p")).select("path", "node", "above", "n", "lo", "hi"), f"paths{depth}")
         lists.append(held.where(F.col("n") <= SMALL).groupBy("path").agg(F.sort_array(F.collect_set("node")).alias("members")))
         large = held.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        if depth < DEPTH:
-            rows = large.join(nodes.select("node", "sketch"), "node").select("node", F.explode(_children(F.col("path"), F.col("sketch"))).alias("path"))
-            continue
+        done = F.coalesce(F.col("n") >= ALONE * F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
         part = F.pmod(F.xxhash64("path", "node"), F.ceil(F.col("n") / SMALL)).alias("part")
-        dealt = large.select("path", "node", "lo", "hi", part)
+        dealt = large.where(done).select("path", "node", "lo", "hi", part)
         lists.append(dealt.groupBy("path", "part").agg(F.sort_array(F.array_distinct(F.concat(F.collect_set("node"), F.array(F.first("lo"), F.first("hi"))))).alias("members")).select("path", "members"))
+        split = large.where(~done)
+        if split.isEmpty():
+            break
+        rows = split.join(nodes.select("node", "sketch"), "node").select("node", F.explode(_children(F.col("path"), F.col("sketch"))).alias("path"), F.col("n").alias("above"))
     merged = lists[0].select("members")
     for x in lists[1:]:
         merged = merged.unionByName(x.select("members"))
