@@ -1,0 +1,135 @@
+"""The search language: terms, quoted phrases, ``field:term``, AND, OR and parentheses, compiled to a Column.
+
+AND binds tighter than OR; operators are recognised in any case; there is no NOT. A text without any
+operator, parenthesis or field is one phrase. Quotes only delimit: an exact term matches like any other.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemark.functions.states import three_valued
+
+MAX_EXPRESSIONS, MAX_TERMS, MAX_CHARS = 16, 16, 300
+_TOKEN = re.compile(r"\s*(?:(?P<open>\()|(?P<close>\))|(?:(?P<field>[A-Za-z_]+):)?(?:\"(?P<quoted>[^\"]*)\"|(?P<bare>[^\s()\"]+)))")
+
+
+class SearchError(ValueError):
+    """An expression that can't be read."""
+
+
+@dataclass(frozen=True)
+class Term:
+    field: str | None
+    text: str
+
+
+@dataclass(frozen=True)
+class Both:
+    left: object
+    right: object
+
+
+@dataclass(frozen=True)
+class Either:
+    left: object
+    right: object
+
+
+def tokens(text: str, fields: dict) -> list[tuple[str, object]]:
+    out, at = [], 0
+    text = text.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise SearchError(f"unreadable at {at}: {text[at:]!r}")
+        at = m.end()
+        if m["open"] or m["close"]:
+            out.append((m["open"] or m["close"], None))
+            continue
+        word = m["quoted"] if m["quoted"] is not None else m["bare"]
+        name = m["field"]
+        if name is not None and name.lower() not in fields:
+            if m["quoted"] is not None:
+                raise SearchError(f"unknown field {name!r}")
+            name, word = None, f"{name}:{word}"
+        if name is None and m["quoted"] is None and word.upper() in ("AND", "OR"):
+            out.append((word.upper(), None))
+        elif not word.strip():
+            raise SearchError("an empty term")
+        else:
+            out.append(("term", Term(name.lower() if name else None, word.strip())))
+    return out
+
+
+def parse(text: str, fields: dict):
+    """The tree of an expression."""
+    if not text.strip() or len(text) > MAX_CHARS:
+        raise SearchError("an expression has 1 to 300 characters")
+    found = tokens(text, fields)
+    if all(kind == "term" and t.field is None for kind, t in found) and '"' not in text:
+        return Term(None, text.strip())
+    if sum(kind == "term" for kind, _ in found) > MAX_TERMS:
+        raise SearchError("too many terms")
+    at = 0
+
+    def peek() -> str:
+        return found[at][0] if at < len(found) else ""
+
+    def atom():
+        nonlocal at
+        kind, value = found[at] if at < len(found) else ("", None)
+        at += 1
+        if kind == "term":
+            return value
+        if kind != "(":
+            raise SearchError("a term is missing")
+        inner = either()
+        if peek() != ")":
+            raise SearchError("a group is not closed")
+        at += 1
+        return inner
+
+    def chain(part, mark, make):
+        nonlocal at
+        left = part()
+        while peek() == mark:
+            at += 1
+            left = make(left, part())
+        return left
+
+    def both():
+        return chain(atom, "AND", Both)
+
+    def either():
+        return chain(both, "OR", Either)
+
+    tree = either()
+    if at < len(found):
+        raise SearchError("two terms need an operator between them")
+    return tree
+
+
+def compile_tree(tree, fields: dict[str, list[str]], default: list[str], states: Column | None = None) -> Column:
+    """The predicate of a tree. ``fields`` maps names to columns; with ``states`` (a map by column) fielded terms are three-valued."""
+    if isinstance(tree, Both):
+        return compile_tree(tree.left, fields, default, states) & compile_tree(tree.right, fields, default, states)
+    if isinstance(tree, Either):
+        return compile_tree(tree.left, fields, default, states) | compile_tree(tree.right, fields, default, states)
+    hit = lambda c: F.coalesce(F.lower(F.col(c)).contains(tree.text.lower()), F.lit(False))
+    if tree.field is None:
+        return reduce(lambda a, b: a | b, [hit(c) for c in default])
+    parts = [hit(c) if states is None else three_valued(states[c], hit(c)) for c in fields[tree.field]]
+    return reduce(lambda a, b: a | b, parts)
+
+
+def search(expressions: list[str], fields: dict[str, list[str]], default: list[str], states: Column | None = None) -> Column:
+    """The predicate of repeated expressions: any of them."""
+    if not 0 < len(expressions) <= MAX_EXPRESSIONS:
+        raise SearchError("one to sixteen expressions")
+    return reduce(lambda a, b: a | b, [compile_tree(parse(e, fields), fields, default, states) for e in expressions])
