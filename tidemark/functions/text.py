@@ -142,7 +142,8 @@ def result_count(c: Column) -> Column:
 def applicant_count(c: Column) -> Column:
     """An exact number of applicants; bounds such as ``over`` or ``first`` give null."""
     vague = c.rlike(r"(?i)\b(?:first|over|more than|at least)\b")
-    return F.when(~vague, F.nullif(F.regexp_extract(c, r"(?i)\b([0-9][0-9,]*)\s+applicants?\b", 1), F.lit(""))).cast("string").substr(1, 20)
+    digits = F.regexp_replace(F.regexp_extract(c, r"(?i)\b([0-9][0-9,]*)\s+applicants?\b", 1), ",", "")
+    return F.when(~vague, digits.try_cast("int"))
 
 
 def page_url(url: Column, page: Column) -> Column:
