@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query keys that only track visitors.
 TRACKING_KEYS = ("ref", "refid", "trackingid", "trk")
@@ -58,7 +59,7 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "ß", "ss"), NOT_WORD, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_exact(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility-normalised, case-folded, word characters only; null becomes the empty text."""
     import re
@@ -69,7 +70,7 @@ def fold_exact(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: "" if v is None else " ".join(other.sub(" ", unicodedata.normalize("NFKC", v).casefold()).split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts, in this order of arguments; null where either is null."""
     from difflib import SequenceMatcher

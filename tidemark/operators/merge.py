@@ -98,7 +98,7 @@ def identity_lookup(incoming: DataFrame, jobs: DataFrame, stones: DataFrame, by_
     sides = [(jobs, by_id, "_a", "job"), (jobs, by_url, "_b", "job"), (stones, by_id, "_c", "tombstone"), (stones, by_url, "_d", "tombstone")]
     for side, key, name, _ in sides:
         one = side.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{name}k")).agg(F.min(target).alias(name))
-        out = out.join(one, F.col(key) == F.col(f"{name}k"), "left").drop(f"{name}k")
+        out = out.join(one, out[key] == F.col(f"{name}k"), "left").drop(f"{name}k")
     kind = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(k)) for _, _, n, k in sides])
     return out.withColumn("match", F.coalesce(*[n for _, _, n, _ in sides])).withColumn("match_kind", kind).drop("_a", "_b", "_c", "_d")
 
