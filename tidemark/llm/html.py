@@ -5,8 +5,9 @@ share of the page's text outside of navigation, adverts, forms and the like; the
 generalised path of tags and classes, for its host. Votes are summed in Spark, and every page is extracted
 again with its host's winning path; a page without that path uses its own best container.
 
-Text is never dropped for its length. The votes carry paths, not texts; the winners are joined to the
-pages by host, as a broadcast only where Spark finds their size small enough.
+Text is never dropped for its length. The votes carry paths, not texts. The winners are counted and
+broadcast to the pages where they are few; otherwise both are joined by host and salt, so that a hot host
+is split.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import slices, staged
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,6 +48,8 @@ BOILERPLATE = frozenset(
 #: An element of the first kind ends an open one of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SPACE = re.compile(r"\s+")
+#: Hosts whose winning paths may be broadcast (about 100 bytes each); beyond, pages are joined by host and salt.
+BROADCAST_HOSTS, SALTS = 100_000, 64
 
 
 class Page:
@@ -195,6 +198,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 found = [Page(h or "").text(p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    paths = host_paths(pages, id_col, url_col, html_col)
-    joined = _hosted(pages, id_col, url_col, html_col).join(paths, "host", "left").select("page_id", "url", "html", "path")
+    paths = staged(host_paths(pages, id_col, url_col, html_col), "host_paths")
+    hosted = _hosted(pages, id_col, url_col, html_col)
+    if paths.count() <= BROADCAST_HOSTS:
+        joined = hosted.join(F.broadcast(paths), "host", "left")
+    else:  # a host's pages are dealt over SALTS tasks
+        spread = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
     return joined.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")
