@@ -11,7 +11,7 @@
    still large after DEPTH levels.
 3. Nodes that look alike, by a bound well below the threshold, form candidate groups (connected
    components). Within each group all pairs of nodes are compared exactly, in blocks of BLOCK by BLOCK
-   nodes, each pair of blocks a unit of work of its own. Only counts and spanning edges leave a unit.
+   nodes, each pair of blocks a unit of work of its own. Only counts and stars of edges leave a unit.
 4. The exact links' components are the classes.
 
 A pair is lost only if its sketches differ by more than 4.5 standard deviations or no run and no chain of
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,9 +114,9 @@ def _roots() -> list[tuple[int, int]]:
     return [(r, int(order[r % SKETCH])) for r in range(RUNS)] + [(r, int(extra[r % SKETCH])) for r in range(0, RUNS, 4)]
 
 
-def _union(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning edges of the pairs."""
-    parent = list(range(n))
+def _stars(ids: list[int], pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Links of each id to the least of those that the pairs of positions connect it with."""
+    parent = list(range(len(ids)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -123,17 +124,16 @@ def _union(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    out = []
     for i, j in pairs.tolist():
         a, b = root(i), root(j)
         if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+            a, b = (a, b) if ids[a] < ids[b] else (b, a)
+            parent[b] = a
+    return [(x, ids[r]) for i, x in enumerate(ids) if (r := root(i)) != i]
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the look-alikes within each bucket; a row is a bucket of nodes and sketches."""
+    """Stars of the look-alikes within each bucket; a row is a bucket of nodes and sketches."""
     for b in batches:
         u, v = [], []
         offsets = b.column("nodes").offsets.to_numpy()
@@ -144,9 +144,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = np.zeros((len(own), len(own)), np.int16)
             for t in range(SKETCH):
                 same += sk[:, t, None] == sk[None, :, t]
-            for x, y in _union(len(own), np.argwhere(np.triu(same >= ALIKE, 1))):
-                u.append(own[x])
-                v.append(own[y])
+            for x, y in _stars(own.tolist(), np.argwhere(np.triu(same >= ALIKE, 1))):
+                u.append(x)
+                v.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
@@ -154,23 +154,21 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes that look alike, from all buckets of all runs."""
     first = F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(p), F.get("sketch", F.lit(p))) for r, p in _roots()]))
     rows = nodes.select("node", first.alias("path"), F.lit(None).cast("long").alias("above"))
-    lists = []
+    levels = []
     for depth in range(DEPTH + 1):
         counts = rows.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
         held = staged(rows.join(counts, F.col("path") == F.col("p")).select("path", "node", "above", "n", "lo", "hi"), f"paths{depth}")
-        lists.append(held.where(F.col("n") <= SMALL).groupBy("path").agg(F.sort_array(F.collect_set("node")).alias("members")))
-        large = held.where(F.col("n") > SMALL)
+        large = F.col("n") > SMALL
         done = F.coalesce(F.col("n") >= ALONE * F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
-        part = F.pmod(F.xxhash64("path", "node"), F.ceil(F.col("n") / SMALL)).alias("part")
-        dealt = large.where(done).select("path", "node", "lo", "hi", part)
-        lists.append(dealt.groupBy("path", "part").agg(F.sort_array(F.array_distinct(F.concat(F.collect_set("node"), F.array(F.first("lo"), F.first("hi"))))).alias("members")).select("path", "members"))
-        split = large.where(~done)
+        part = F.when(large, F.pmod(F.xxhash64("path", "node"), F.ceil(F.col("n") / SMALL))).otherwise(0)
+        pivots = F.when(large, F.array("lo", "hi")).otherwise(F.array())
+        levels.append(held.where(~large | done).select("path", part.cast("long").alias("part"), "node", pivots.alias("pivots")))
+        split = held.where(large & ~done)
         if split.isEmpty():
             break
         rows = split.join(nodes.select("node", "sketch"), "node").select("node", F.explode(_children(F.col("path"), F.col("sketch"))).alias("path"), F.col("n").alias("above"))
-    merged = lists[0].select("members")
-    for x in lists[1:]:
-        merged = merged.unionByName(x.select("members"))
+    dealt = reduce(DataFrame.unionByName, levels)
+    merged = dealt.groupBy("path", "part").agg(F.sort_array(F.array_distinct(F.concat(F.collect_set("node"), F.first("pivots")))).alias("members"))
     # the same few nodes meet in most runs: each list is compared once
     merged = merged.where(F.size("members") > 1).groupBy(F.xxhash64("members").alias("bucket"), "members").agg(F.count("*").alias("runs"))
     spread = merged.select("bucket", F.explode("members").alias("node")).join(nodes.select("node", "sketch"), "node")
@@ -180,7 +178,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _compare(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int, int]]:
-    """Exact links of two blocks, or within one: (node, -1, linked weight) and spanning edges (u, v, 0).
+    """Exact links of two blocks, or within one: (node, -1, linked weight) and stars of edges (u, v, 0).
 
     Shared shingles are counted by products of incidence matrices, a bounded number of columns at a time.
     """
@@ -217,8 +215,8 @@ def _compare(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int
         pairs = np.argwhere(linked) + [0, m]
     for i in np.flatnonzero(gained):
         yield rows[i][0], -1, int(gained[i])
-    for i, j in _union(n, pairs):
-        yield rows[i][0], rows[j][0], 0
+    for u, v in _stars([r[0] for r in rows], pairs):
+        yield u, v, 0
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
