@@ -277,6 +277,34 @@ def test_quality_rules(spark, odd, nothing, docs):
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
+def _ratio_docs(lang, source, ratios, start):
+    """Documents of 100 words of four letters, with symbols in the given share of their characters."""
+    rows = []
+    for i, ratio in enumerate(ratios, start):
+        words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for k in range(100)]
+        n = round(400 * ratio)
+        rows.append((i, " ".join("#" * min(4, max(0, n - 4 * k)) + w[min(4, max(0, n - 4 * k)) :] for k, w in enumerate(words)), lang, source))
+    return rows
+
+
+def test_quality_fences_hold_bad_groups_and_follow_quantiles(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    third = _ratio_docs("en", "hot", [0.2 if i % 3 == 0 else 0 for i in range(300)], 0)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(third, schema)).collect()}
+    assert all(kept[i] == (i % 3 > 0) for i in range(300))
+    # a source that is mostly junk, beside a clean one of its language
+    most = _ratio_docs("en", "bad", [0 if i % 5 == 0 else 0.12 + i % 5 / 50 for i in range(200)], 0) + _ratio_docs("en", "good", [0] * 600, 200)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(most, schema)).collect()}
+    assert all(kept[i] == (i >= 200 or i % 5 == 0) for i in range(800))
+    # a cutoff may lie under the floor, and above it: symbols of 0.0025 to 0.005 and of 0.02 to 0.06 are usual
+    for usual, odd_ones in (([0.0025, 0.005], 0.07), ([0.02, 0.04, 0.06], 0.5)):
+        texts = _ratio_docs("en", "s", [usual[i % len(usual)] for i in range(300)] + [odd_ones], 0)
+        kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(texts, schema)).collect()}
+        assert all(kept[i] == (i < 300) for i in range(301))
+    texts = _ratio_docs("en", "s", [(0.02, 0.04, 0.06)[i % 3] for i in range(300)] + [0.1], 0)
+    assert all(r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(texts, schema)).collect())
+
+
 def test_quality_classifier(spark, odd, nothing):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8)))

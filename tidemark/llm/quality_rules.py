@@ -1,10 +1,13 @@
 """Quality rules whose cutoffs adapt to language and source.
 
 Statistics of each document are column expressions. Mergeable quantile sketches (the ones behind
-``approx_percentile``, merged map-side first) give each (language, source) its quartiles, from which a
-fence follows for each statistic: the upper quartile plus a multiple of the spread, never inside a floor
-that well-formed prose stays under. Small groups take the fence of their language. The fences are joined
-back to the statistics, not to the texts.
+``approx_percentile``, merged map-side first) give each (language, source), each language and the corpus
+a lower quartile and a median, from which a fence follows for each statistic: the median plus a multiple of
+the spread below it, which outliers reach only where they are half of the group. The fence of a group is
+capped by its language's, that of a language, for ratios, by the corpus's, so a mostly bad group switches
+no rule off. FLOORS decide where the quartiles show no spread; elsewhere a cutoff may lie above a floor or
+under it, down to LEAST of it. Small groups take the fence of their language. The fences are joined back to
+the statistics, not to the texts.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ from tidemark.llm.common import staged
 
 #: Groups with fewer documents take the fences of their language.
 MIN_GROUP = 100
-#: Spreads beyond the upper quartile at which a statistic counts as an outlier.
+#: Spreads beyond the upper quartile (for an even distribution) at which a statistic counts as an outlier.
 REACH = 6.0
-#: Statistics and the least value that may ever count as an outlier.
+#: Statistics and their least cutoff where the quartiles show no spread; the share of it that a cutoff has elsewhere at least.
 FLOORS = {"symbol_ratio": 0.08, "dup_line_ratio": 0.3, "repeat_ratio": 0.3, "mean_word": 14.0}
+LEAST = 0.5
+#: Statistics that mean the same in every language; the length of words depends on the script.
+RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
 #: Accuracy of the sketches: ranks are off by one in this many at most.
 ACCURACY = 5000
 
@@ -85,22 +91,27 @@ def _ratios(df: DataFrame) -> DataFrame:
 
 def _fences(stats: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """Group size and fence of each statistic, for each value of the keys."""
-    sketches = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY).alias(f"q_{c}") for c in FLOORS]
+    sketches = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5)), ACCURACY).alias(f"q_{c}") for c in FLOORS]
     df = stats.groupBy(*[F.col(k).alias(f"{tag}_{k}") for k in keys]).agg(F.count("*").alias(f"{tag}_n"), *sketches)
-    q = lambda c, i: F.get(F.col(f"q_{c}"), F.lit(i))
-    fences = [F.greatest(q(c, 1) + REACH * (q(c, 1) - q(c, 0)), F.lit(floor)).alias(f"{tag}_{c}") for c, floor in FLOORS.items()]
-    return df.select(*[f"{tag}_{k}" for k in keys], f"{tag}_n", *fences)
+
+    def fence(c: str, floor: float) -> Column:
+        low, mid = F.get(F.col(f"q_{c}"), F.lit(0)), F.get(F.col(f"q_{c}"), F.lit(1))
+        # as far out as the upper quartile plus REACH quartile distances where both halves are alike
+        return F.greatest(mid + (2 * REACH + 1) * (mid - low), F.when(mid > low, LEAST * floor).otherwise(floor))
+
+    return df.select(*[f"{tag}_{k}" for k in keys], f"{tag}_n", *[fence(c, floor).alias(f"{tag}_{c}") for c, floor in FLOORS.items()])
 
 
 def judge(stats: DataFrame) -> DataFrame:
     """Add ``base_failed`` and ``kept`` to rows of ``statistics``."""
     stats = _ratios(stats)
-    own, lang = _fences(stats, ["lang", "source"], "g"), _fences(stats, ["lang"], "l")
+    own, lang, corpus = _fences(stats, ["lang", "source"], "g"), _fences(stats, ["lang"], "l"), _fences(stats, [], "c")
     df = stats.join(own, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    df = df.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
+    df = df.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(corpus))
     outlier = F.lit(False)
     for c in FLOORS:
-        outlier = outlier | (F.col(c) > F.when(F.col("g_n") >= MIN_GROUP, F.col(f"g_{c}")).otherwise(F.col(f"l_{c}")))
+        wide = F.least(f"l_{c}", f"c_{c}") if c in RATIOS else F.col(f"l_{c}")
+        outlier = outlier | (F.col(c) > F.when(F.col("g_n") >= MIN_GROUP, F.least(F.col(f"g_{c}"), wide)).otherwise(wide))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return df.withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce(outlier, F.lit(False)))
 
