@@ -256,6 +256,22 @@ def test_jaccard(spark, odd, nothing):
     assert jaccard.miss_rate(0.8) < 1e-6
 
 
+def test_keep_one_with_null_and_repeated_ids(spark, odd):
+    words = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1)), (None, words(1)), (None, words(2)), (None, words(3)), (None, words(3)), (None, words(4) + " a"), (None, words(4) + " b"), (5, words(5)), (5, words(6)), (5, words(6)), (0, words(7)), (8, words(7)), (8, words(8)), (9, None), (9, "")]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), odd):
+        kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()]
+        own = [(r["doc_id"], r["text"]) for r in df.collect()]
+        assert not Counter(kept) - Counter(own)
+        keys = [jaccard.shingles(t or "").tobytes() for _, t in kept]
+        assert len(set(keys)) == len(keys)
+        if df is not odd:
+            # each class by the first word of its texts, with its least id
+            assert sorted(((t or "").split("x")[0], str(d)) for d, t in kept) == [("", "9"), ("w1", "1"), ("w2", "None"), ("w3", "None"), ("w4", "None"), ("w5", "5"), ("w6", "5"), ("w7", "0"), ("w8", "8")]
+        else:
+            assert set(keys) == {jaccard.shingles(t or "").tobytes() for _, t in own}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["label"] for r in components.components(edges).collect()}

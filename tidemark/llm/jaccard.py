@@ -91,9 +91,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for batch in slices(whole, "text"):
                 sets = [shingles(t or "") for t in batch.column("text").to_pylist()]
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(sets) + 1, SKETCH, dtype=np.int32)), pa.array(_sketches(sets).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_key(s) for s in sets], pa.binary()), rows], ["doc_id", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([_key(s) for s in sets], pa.binary()), rows], ["doc_id", "digest", "key", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, key binary, sketch array<int>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, digest string, key binary, sketch array<int>")
 
 
 def _children(path: Column, sketch: Column) -> Column:
@@ -250,6 +250,10 @@ def _with_shingles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, shingles binary")
 
 
+def _digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``class_id`` and ``n_links``.
 
@@ -257,8 +261,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Jaccard similarity of at least 0.8, copies included. Null texts are empty ones. Rows with a null id
     take part like others; a class of such rows alone has a null class. An empty table gives no rows.
     """
+    return _classified(docs, id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``similar_documents`` with the text's ``digest`` and the class's ``label``, which is never null."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(_sketched(docs), "sketches")
+    rows = staged(_sketched(docs.withColumn("digest", _digest("text"))), "sketches")
     found = rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.count("*").alias("weight"), F.min("doc_id").alias("least"))
     nodes = staged(found.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by the writing
     groups = components(_candidates(nodes))
@@ -282,19 +291,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked = nodes.select("key", "node", "weight", "least").join(labels, "node", "left").join(counted, "node", "left")
     linked = linked.select("key", F.coalesce("label", "node").alias("label"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least")
     least = linked.groupBy(F.col("label").alias("c")).agg(F.min("least").alias("class_id"))
-    classes = linked.join(least, F.col("label") == F.col("c")).select("key", "class_id", "n_links")
-    return rows.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    classes = linked.join(least, F.col("label") == F.col("c")).select("key", "label", "class_id", "n_links")
+    return rows.select("doc_id", "digest", "key").join(classes, "key").select("doc_id", "digest", "label", "class_id", F.col("n_links").cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each class, that of the least id; rows of one id count as one document."""
-    found = staged(similar_documents(docs, id_col, text_col), "classes")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"))
-    many = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    return kept.dropDuplicates([id_col]) if many else kept
+    """The documents with one row of each class: of the least id and, where ids repeat, the least digest of the text.
+
+    Rows are told apart by id and digest, so null and repeated ids remove only rows of their own class.
+    """
+    found = staged(_classified(docs, id_col, text_col).select("doc_id", "digest", "label"), "classes")
+    pairs = found.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = found.groupBy(F.col("label").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
+    marked = pairs.join(first, F.col("label") == F.col("c")).withColumn("kept", F.col("digest").eqNullSafe(F.col("first.digest")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    # rows to take out: all of a pair that isn't kept, and of one that repeats, whose rows are then put back once
+    out = staged(marked.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept"), "gone")
+    back = out.where("kept")
+    many = back.limit(1).count() > 0
+    if out.count() <= BROADCAST_IDS:
+        out, back = F.broadcast(out), F.broadcast(back)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (_digest(text_col) == F.col("_digest"))
+    kept = docs.join(out, same, "left_anti")
+    if not many:
+        return kept
+    repeated = docs.join(back, same, "left_semi").withColumn("_digest", _digest(text_col))
+    return kept.unionByName(repeated.dropDuplicates([id_col, "_digest"]).drop("_digest"))
 
 
 def miss_rate(similarity: float, depth: int = 1) -> float:
