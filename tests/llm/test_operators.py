@@ -272,6 +272,30 @@ def test_keep_one_with_null_and_repeated_ids(spark, odd):
             assert set(keys) == {jaccard.shingles(t or "").tobytes() for _, t in own}
 
 
+def test_jaccard_around_a_common_passage(spark):
+    """Pairs of similarity 0.83 among 4000 texts that share a passage and are 0.49 similar to all others."""
+    rng = random.Random(7)
+    shared = [f"p{i}" for i in range(80)]
+    rows = []
+    for k in range(2000):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(40)]
+        rows.append((2 * k, " ".join(shared + own)))
+        own[13], own[26], own[-1] = "x", "y", "z"
+        rows.append((2 * k + 1, " ".join(shared + own)))
+    sets = [set(jaccard.shingles(t).tolist()) for _, t in rows]
+    passage = set.intersection(*sets)
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s - passage:
+            holders[x].append(i)
+    common = Counter(pair for held in holders.values() for pair in combinations(held, 2))
+    similar = lambda i, j, n: 9 * (n + len(passage)) >= 4 * (len(sets[i]) + len(sets[j]))
+    assert not similar(0, 2, 0) and {p for p, n in common.items() if similar(*p, n)} == {(2 * k, 2 * k + 1) for k in range(2000)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.similar_documents(df).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(4000)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["label"] for r in components.components(edges).collect()}

@@ -5,10 +5,11 @@
    their similarity. Equal sets become one node with a weight.
 2. Chosen paths: each of RUNS runs splits all nodes by the tokens sampled at a few positions. Buckets of
    one node end there. Buckets of up to SMALL are compared by brute force on sketches. Larger ones are
-   split again at positions drawn from their path, in expectation 1 / 0.8 of them, so that a pair at the
-   threshold keeps its chance at every level. A bucket that a split leaves nearly whole holds look-alikes;
-   it is compared in random blocks that share pivots, a new dealing for every path, and so are buckets
-   still large after DEPTH levels.
+   split again at positions drawn from their path that it has not used, in expectation 1 / 0.8 of them, so
+   that a pair at the threshold keeps its chance at every level. A bucket that a split leaves nearly whole
+   is also compared in random blocks that share pivots, a new dealing for every path, and so are buckets
+   still large after DEPTH levels. Where nearly all sketches of such a bucket agree with one pivot's, these
+   are look-alikes, which the blocks link, and only the others are split again.
 3. Nodes that look alike, by a bound well below the threshold, form candidate groups (connected
    components). Within each group all pairs of nodes are compared exactly, in blocks of BLOCK by BLOCK
    nodes, each pair of blocks a unit of work of its own. Only counts and stars of edges leave a unit.
@@ -36,8 +37,9 @@ from tidemark.llm.components import components
 #: Words of a shingle; the threshold as a fraction.
 WORDS, NUM, DEN = 5, 4, 5
 SKETCH, RUNS, DEPTH, SMALL, BLOCK = 64, 8, 12, 128, 256
-#: A bucket that keeps this share of the one above holds look-alikes: splitting it further does not separate them.
-ALONE = 0.75
+#: A bucket that keeps this share of the one above may hold look-alikes, which no split separates;
+#: it does where this share of its nodes looks like its least node.
+ALONE, AGREE = 0.75, 0.9
 #: Sampled tokens that two sketches must share to be compared exactly: 4.5 standard deviations under the threshold.
 ALIKE = 37
 #: Nodes whose ids may be broadcast (12 bytes each); beyond, texts are joined by a shuffle.
@@ -96,16 +98,29 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, digest string, key binary, sketch array<int>")
 
 
-def _children(path: Column, sketch: Column) -> Column:
-    """Paths one level down: one position drawn from the path, and with a chance of a quarter a second one."""
+def _children(path: Column, sketch: Column, used: Column) -> Column:
+    """Paths one level down and the positions used: one position drawn from the path, and with a chance of a quarter a second one."""
     draw = F.xxhash64(path, F.lit(17))
-    one = F.pmod(draw, F.lit(SKETCH)).cast("int")
-    two = F.pmod(F.shiftright(draw, 20), F.lit(SKETCH)).cast("int")
-    step = lambda p: F.xxhash64(path, p, F.get(sketch, p))
-    more = (F.pmod(F.shiftright(draw, 40), F.lit(4)) == 0) & (one != two)
+    free = F.array_except(F.sequence(F.lit(0), F.lit(SKETCH - 1)), used)
+    one = F.get(free, F.pmod(draw, F.size(free)).cast("int"))
+    left = F.array_except(free, F.array(one))
+    two = F.get(left, F.pmod(F.shiftright(draw, 20), F.size(left)).cast("int"))
+    step = lambda p: F.struct(F.xxhash64(path, p, F.get(sketch, p)).alias("path"), F.concat(used, F.array(p)).alias("used"))
+    more = F.pmod(F.shiftright(draw, 40), F.lit(4)) == 0
     return F.when(more, F.array(step(one), step(two))).otherwise(F.array(step(one)))
 
 
+def _look_alikes(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, node) of nodes that look like the least one of their bucket, in buckets where nearly all do."""
+    sketches = nodes.select("node", "sketch")
+    firsts = held.select("path", "lo").distinct().join(sketches.select(F.col("node").alias("lo"), F.col("sketch").alias("pivot")), "lo")
+    pairs = held.select("path", "node", "n").join(sketches, "node").join(firsts.select("path", "pivot"), "path")
+    shared = F.size(F.filter(F.arrays_zip("sketch", "pivot"), lambda x: x["sketch"] == x["pivot"]))
+    like = staged(pairs.where(shared >= ALIKE).select("path", "node", "n"), "like")
+    sure = like.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= AGREE * F.col("n"))
+    return like.join(sure.select("p"), F.col("path") == F.col("p"), "left_semi").select("path", "node")
+
+
 def _roots() -> list[tuple[int, int]]:
     """(run, position) of the first level."""
     rng = np.random.default_rng(5)
@@ -152,21 +167,34 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes that look alike, from all buckets of all runs."""
-    first = F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(p), F.get("sketch", F.lit(p))) for r, p in _roots()]))
-    rows = nodes.select("node", first.alias("path"), F.lit(None).cast("long").alias("above"))
+    first = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(r), F.lit(p), F.get("sketch", F.lit(p))).alias("path"), F.array(F.lit(p)).alias("used")) for r, p in _roots()]))
+    rows = nodes.select("node", first.alias("child")).select("node", "child.*", F.lit(None).cast("long").alias("above"))
     levels = []
-    for depth in range(DEPTH + 1):
-        counts = rows.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
-        held = staged(rows.join(counts, F.col("path") == F.col("p")).select("path", "node", "above", "n", "lo", "hi"), f"paths{depth}")
+
+    def deal(found: DataFrame) -> None:
         large = F.col("n") > SMALL
-        done = F.coalesce(F.col("n") >= ALONE * F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
         part = F.when(large, F.pmod(F.xxhash64("path", "node"), F.ceil(F.col("n") / SMALL))).otherwise(0)
         pivots = F.when(large, F.array("lo", "hi")).otherwise(F.array())
-        levels.append(held.where(~large | done).select("path", part.cast("long").alias("part"), "node", pivots.alias("pivots")))
-        split = held.where(large & ~done)
+        levels.append(found.select("path", part.cast("long").alias("part"), "node", pivots.alias("pivots")))
+
+    for depth in range(DEPTH + 1):
+        counts = rows.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
+        held = staged(rows.join(counts, F.col("path") == F.col("p")).select("path", "node", "used", "above", "n", "lo", "hi"), f"paths{depth}")
+        large = F.col("n") > SMALL
+        if depth == DEPTH:
+            deal(held)
+            break
+        deal(held.where(~large))
+        split = held.where(large)
         if split.isEmpty():
             break
-        rows = split.join(nodes.select("node", "sketch"), "node").select("node", F.explode(_children(F.col("path"), F.col("sketch"))).alias("path"), F.col("n").alias("above"))
+        whole = split.where(F.col("n") >= ALONE * F.col("above"))
+        if not whole.isEmpty():
+            deal(whole)
+            like = staged(_look_alikes(whole, nodes), f"like{depth}").select(F.col("path").alias("p"), F.col("node").alias("m"))
+            split = split.join(like, (F.col("path") == F.col("p")) & (F.col("node") == F.col("m")), "left_anti")
+        children = F.explode(_children(F.col("path"), F.col("sketch"), F.col("used"))).alias("child")
+        rows = split.join(nodes.select("node", "sketch"), "node").select("node", children, F.col("n").alias("above")).select("node", "child.*", "above")
     dealt = reduce(DataFrame.unionByName, levels)
     merged = dealt.groupBy("path", "part").agg(F.sort_array(F.array_distinct(F.concat(F.collect_set("node"), F.first("pivots")))).alias("members"))
     # the same few nodes meet in most runs: each list is compared once
