@@ -386,6 +386,16 @@ def test_html(spark, nothing):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_a_heading_outside_the_inner_container(spark):
+    body = "".join(f"<p>Paragraph {i} {'of some words ' * 20}</p>" for i in range(100))
+    pages = [f"<body><nav>Home</nav><div class=content><h1>Head</h1><p>Lead</p><div class=body>{body}</div></div></body>", f"<body><main><h1>Head</h1><article>{body}</article></main></body>"]
+    df = spark.createDataFrame([(i, f"http://{i}.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract(df).collect()}
+    assert got[0][:2] == ["Head", "Lead"] and len(got[0]) == 102 and got[1][0] == "Head" and len(got[1]) == 101
+    page = html.Page("<body><div class=a><div class=b><p>same text</p></div></div></body>")
+    assert page.paths[page.best()].endswith("div.b")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,7 +1,7 @@
 """Main text of web pages by the container paths that the pages of a host agree on.
 
 Each page is read into blocks of text and the containers that hold them. Containers are scored by their
-share of the page's text outside of navigation, adverts, forms and the like; the best one votes, with its
+text outside of navigation, adverts, forms and the like, and by depth only where they hold the same; the best one votes, with its
 generalised path of tags and classes, for its host. Votes are summed in Spark, and every page is extracted
 again with its host's winning path; a page without that path uses its own best container.
 
@@ -135,19 +135,19 @@ class Page:
         flush()
 
     def best(self) -> int:
-        """The container with the highest score: its share of the kept text, a bonus for meaning, deeper ones first."""
-        own = [0.0] * len(self.parents)
+        """The container with the most kept text, by a bonus for meaning; the deepest of those that hold the same."""
+        own = [0] * len(self.parents)
         for node, text, linked in self.blocks:
             if not self.dropped[node]:
                 own[node] += max(0, len(text) - linked)
         for node in range(len(own) - 1, 0, -1):
             own[self.parents[node]] += own[node]
         depth = [0] * len(own)
-        found, top = 0, -1.0
+        found, top = 0, (-1, 0)
         for node in range(1, len(own)):
             depth[node] = depth[self.parents[node]] + 1
             if self.tags[node] in CONTAINERS and not self.dropped[node] and own[0]:
-                score = own[node] / own[0] * (1.5 if self.tags[node] in ("article", "main") else 1.0) + 0.02 * depth[node]
+                score = (own[node] * (3 if self.tags[node] in ("article", "main") else 2), depth[node])
                 if score > top:
                     found, top = node, score
         return found
