@@ -371,6 +371,16 @@ def test_media(spark, odd, nothing):
     assert media.segments(np.array([0, 0, 9, 5, 9, 0, 0, 0.0])) == [(2, 5)]
 
 
+def test_media_frames_hold_every_sample():
+    for n in (0, 1, 127, 128, 129, 160, 192, 193, 1000):
+        x = np.zeros(n, np.float32)
+        quiet = media.log_mel(x, 8000)
+        assert len(quiet) == max(0, -(-(n - media.FRAME) // media.HOP)) + 1
+        if n > 2 * media.FRAME or n in (129, 160, 193):
+            x[-20:] = np.sin(np.arange(20))
+            assert not np.allclose(media.log_mel(x, 8000)[-1], quiet[-1])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id=main class="post-17 body"><h2>Head &amp; <b>line</b></h2><p>First  para<br>goes on <a title="a>b" href=x>link</a>.<p>Second<div class="ad-slot">Buy</div>
 <ul><li>one<li>two</ul><script>var x="<p>no</p>";</script><form><input>Search</form></div><aside>Side</aside><section class="comments"><p>Nice!</p></section><footer>&copy; F</footer></body></html>"""

@@ -97,9 +97,9 @@ def mel_bank(rate: float) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: float) -> np.ndarray:
-    """Log-mel energies of overlapping frames; a signal shorter than a frame is padded to one."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """Log-mel energies of overlapping frames; zeros fill the last frame up, so that every sample lies in one."""
+    if short := max(0, FRAME - len(x)) or -(len(x) - FRAME) % HOP:
+        x = np.concatenate([x, np.zeros(short, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window, bank = np.hanning(FRAME).astype(np.float32), mel_bank(rate).T
     out = np.empty((len(frames), BANDS), np.float32)
