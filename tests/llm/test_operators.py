@@ -182,6 +182,13 @@ def test_toxicity(spark, odd, nothing):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_documents(odd, toxicity.fit(nothing, nothing.selectExpr("doc_id", "1 AS toxic"))).collect())
 
 
+def test_word_features_read_the_whole_word():
+    long = "Quiet_" * 50
+    a, b = toxicity.word_features(long + "gromblak"), toxicity.word_features(long + "garden")
+    assert a[4:] == ("-lak", "-blak") and b[4:] == ("-den", "-rden") and a[0] != b[0] and a[1:4] == b[1:4] == ("qui", "quie", "quiet")
+    assert max(map(len, a)) <= 66 and toxicity.word_features("Word") == ("=word", "wor", "word", "word", "-ord", "-word")
+
+
 def test_sentencepiece(spark, odd, nothing):
     import sentencepiece as library
 

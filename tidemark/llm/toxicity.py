@@ -13,6 +13,7 @@ one half are the offending spans.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,9 +40,10 @@ WORD = re.compile(r"\w+")
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    """The word in lower case, its prefixes and its suffixes; a mark tells the kinds apart."""
-    w = word.lower()[:64]
-    return ("=" + w, w[:3], w[:4], w[:5], "-" + w[-3:], "-" + w[-4:])
+    """The word in lower case (a digest stands for one of over 64 characters), its prefixes and its suffixes; a mark tells the kinds apart."""
+    w = word.lower()
+    whole = w if len(w) <= 64 else "#" + hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return ("=" + whole, w[:3], w[:4], w[:5], "-" + w[-3:], "-" + w[-4:])
 
 
 #: Features of a word, by whose root its emission is scaled.
