@@ -5,7 +5,7 @@ child's path; the least draw wins. A child's chance is its share of the weight,
 child's weight moves rows only between that child and its siblings: all other draws stay as they were.
 
 Everything is a column expression: there is no Python on the executors, and the only shuffle is the one
-that numbers the rows of a shard, which carries ids and sizes, never texts.
+by ranges that numbers the rows of a shard, which carries ids and sizes, never texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import number, staged
+from tidemark.llm.common import number
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,9 @@ def assign(df: DataFrame, leaves: list[Leaf], key_col: str, out: str) -> DataFra
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard, slot and the shard after growth by one, for each document.
 
-    Null text: no bytes, size 8. Null ids share one shard. Repeated rows share a shard and get slots of
-    their own, in any order. An empty table gives no rows. Other columns of the input are not read.
+    Slots follow id, checksum and size within a shard. Null text: no bytes, size 8. Null ids share one shard
+    and come first in it. Repeated rows share a shard and get slots of their own. An empty table gives no
+    rows. Other columns of the input are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(
@@ -103,6 +104,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     )
     df = assign(df, topology(shards), "doc_id", "shard")
     df = assign(df, topology(shards + 1), "doc_id", "grown_shard")
-    df = staged(df, "shards")  # counted and ranked below: the texts are read once
     df = number(df, "shard", "slot", ["doc_id", "text_crc32", "size"])
     return df.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
