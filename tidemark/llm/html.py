@@ -5,9 +5,14 @@ text outside of navigation, adverts, forms and the like, and by depth only where
 generalised path of tags and classes, for its host. Votes are summed in Spark, and every page is extracted
 again with its host's winning path; a page without that path uses its own best container.
 
-Text is never dropped for its length. The votes carry paths, not texts. The winners are counted and
-broadcast to the pages where they are few; otherwise both are joined by host and salt, so that a hot host
-is split.
+Elements whose tag, role or attributes say that they are no article are left out. A class or id only counts
+as evidence: all of its words must speak of boilerplate, and an element that holds most of a page's text is
+left out for its class only where an article or main element outside of it holds text.
+
+Text is never dropped for its length. The votes carry paths, not texts, so pages are read twice: to keep
+what the first reading found would mean to write all texts out and read them again. The winners are counted
+and broadcast to the pages where they are few; otherwise both are joined by host and salt, so that a hot
+host is split.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, staged
+from tidemark.llm.common import in_batches, slices, staged
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -45,6 +50,10 @@ BOILERPLATE = frozenset(
     "promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+#: Words of names that speak of readers' comments.
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+#: Words that may stand beside those of boilerplate in a name without changing its sense.
+NEUTRAL = frozenset("area bar block bottom box container inner item items left link links list nav outer overlay panel right section slot top unit wrap wrapper".split())
 #: An element of the first kind ends an open one of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SPACE = re.compile(r"\s+")
@@ -52,13 +61,23 @@ _SPACE = re.compile(r"\s+")
 BROADCAST_HOSTS, SALTS = 100_000, 64
 
 
+def speaks_of_boilerplate(name: str) -> bool:
+    """Whether all words of a class or an id are boilerplate or neutral, and one at least is boilerplate."""
+    if name in BOILERPLATE:
+        return True
+    words = {w for w in re.split(r"[-_\d]+", name) if w}
+    return not words.isdisjoint(BOILERPLATE) and words <= BOILERPLATE | NEUTRAL
+
+
 class Page:
     """Nodes (parent, path, dropped) and blocks (node, text, characters of link text) of a page."""
 
     def __init__(self, html: str):
         self.parents, self.paths, self.dropped, self.tags = [-1], [""], [False], [""]
+        self.suspects: dict[int, bool] = {}  # nodes that their class or id speaks against, and whether as comments
         self.blocks: list[tuple[int, str, int]] = []
         self._read(html)
+        self._judge()
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open elements and the node each belongs to
@@ -68,7 +87,7 @@ class Page:
         def flush() -> None:
             nonlocal linked
             if text:
-                joined = _SPACE.sub(" ", unescape("".join(text))).strip()
+                joined = _SPACE.sub(" ", "".join(text)).strip()
                 if joined:
                     self.blocks.append((stack[-1][1], joined, linked))
                 text.clear()
@@ -82,7 +101,7 @@ class Page:
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
-                text.append(html[at : m.start()])
+                text.append(unescape(html[at : m.start()]))
                 linked += (m.start() - at) * (links > 0)
             at = m.end()
             tag = m["tag"]
@@ -116,24 +135,57 @@ class Page:
             node = stack[-1][1]
             marks = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
             named = marks.get("class", "").lower().split()
-            away = self.dropped[node] or tag in DROPPED or "hidden" in marks or marks.get("aria-hidden") == "true" or marks.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
-            if not away and tag not in ("html", "body", "article", "main") and (named or "id" in marks):
-                words = set(named) | {marks.get("id", "").lower()}
-                words |= {part for w in words for part in re.split(r"[-_\d]+", w)}
-                away = not words.isdisjoint(BOILERPLATE)
-            if block or away != self.dropped[node]:
+            away = tag in DROPPED or "hidden" in marks or marks.get("aria-hidden") == "true" or marks.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
+            suspect = not away and tag not in ("html", "body", "article", "main") and any(map(speaks_of_boilerplate, {*named, marks.get("id", "").lower()}))
+            if block or away or suspect:
                 kind = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in named})])
                 self.parents.append(node)
                 self.paths.append(f"{self.paths[node]}/{kind}")
-                self.dropped.append(away)
+                self.dropped.append(away or self.dropped[node])
                 self.tags.append(tag)
                 node = len(self.parents) - 1
+                if suspect:
+                    words = re.split(r"[-_\d\s]+", f"{marks.get('class', '')} {marks.get('id', '')}".lower())
+                    self.suspects[node] = not COMMENTS.isdisjoint(words)
             stack.append((tag, node))
             links += tag == "a"
         if at < len(html):
-            text.append(html[at:])
+            text.append(unescape(html[at:]))
         flush()
 
+    def _judge(self) -> None:
+        """Drop the suspects and all in them, but for those that hold most of the text.
+
+        Such a one goes, too, where an article or main element outside of it holds text, or where its name
+        speaks of readers' comments and anything else on the page holds text.
+        """
+        if not self.suspects:
+            return
+        own, ended = [0] * len(self.parents), list(range(len(self.parents)))  # characters in a node, and the last node in it
+        for node, text, _ in self.blocks:
+            own[node] += 0 if self.dropped[node] else len(text)
+        for node in range(len(own) - 1, 0, -1):
+            own[self.parents[node]] += own[node]
+            ended[self.parents[node]] = max(ended[self.parents[node]], ended[node])
+        for node in range(1, len(own)):
+            if node in self.suspects and not self.dropped[node]:
+                if 2 * own[node] <= own[0]:
+                    self.dropped[node] = True
+                elif self.suspects[node]:
+                    self.dropped[node] = own[0] > own[node]
+                else:  # at most one for each level of depth
+                    self.dropped[node] = any(
+                        self.tags[n] in ("article", "main") and own[n] and not node <= n <= ended[node] and not n <= node <= ended[n] and self._stands(n) for n in range(1, len(own))
+                    )
+            self.dropped[node] = self.dropped[node] or self.dropped[self.parents[node]]
+
+    def _stands(self, node: int) -> bool:
+        while node > 0:
+            if node in self.suspects or self.dropped[node]:
+                return False
+            node = self.parents[node]
+        return True
+
     def best(self) -> int:
         """The container with the most kept text, by a bonus for meaning; the deepest of those that hold the same."""
         own = [0] * len(self.parents)
@@ -181,7 +233,7 @@ def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             keys = list(votes)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k] for k in keys], pa.int64())], ["host", "path", "votes"])
 
-    votes = _hosted(pages, id_col, url_col, html_col).select("host", "html").mapInArrow(run, "host string, path string, votes long")
+    votes = in_batches(_hosted(pages, id_col, url_col, html_col).select("host", "html")).mapInArrow(run, "host string, path string, votes long")
     return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes")).groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
