@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, staged, train_side
+from tidemark.llm.common import in_batches, slices, staged, train_side
 
 #: Fourier features, ridge penalty, bins of the calibration.
 FEATURES, RIDGE, BINS = 192, 1.0, 400
@@ -103,7 +103,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 x = [statistics_of(t or "") for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, x array<double>")
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {id_type}, x array<double>")
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -174,13 +174,21 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score of each document, learnt from the labels' training rows."""
+    """Score of each document, learnt from the labels' training rows.
+
+    Null texts are empty ones, which are scored like any other. Null ids and repeated rows are scored each for
+    itself, equal texts alike; an empty table gives no rows; other columns are not read.
+    """
     stats = staged(statistics(docs, id_col, text_col), "quality_stats")
     return score(stats, fit(stats, labels))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents, whole rows, that score at or above the threshold."""
+    """The documents, whole rows, that score at or above the threshold.
+
+    Null texts are empty ones. Repeated rows go or stay together, whatever other columns there are; an empty
+    table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -188,4 +196,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
                 x = np.array([statistics_of(t or "") for t in batch.column(text_col).to_pylist()])
                 yield batch.filter(pa.array(model(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

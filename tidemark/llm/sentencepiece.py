@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import in_batches, slices
 
 MARK = "▁"
-#: Distinct words and pairs of pieces that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 500_000
+#: Bytes of words and their ids, and pairs of pieces, that a worker remembers; what a word costs besides.
+CACHE_BYTES, ENTRY_BYTES, CACHE_PAIRS = 128 << 20, 200, 500_000
 #: Score of a character that is no piece.
 UNKNOWN = -1e6
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -57,6 +57,7 @@ class Codec:
         self.ends = {p[i:] for p in self.scores for i in range(len(p))}
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() if p.type == 1 else b"" for p in proto.pieces]
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.apart: dict[tuple[str, str], bool] = {}
 
     def _merged(self, word: str) -> list[str]:
@@ -120,6 +121,7 @@ class Codec:
     def _learn(self, words: Iterable[str]) -> None:
         fresh = sorted(set(words).difference(self.known))
         ids = self.id_bytes
+        self.held += sum(5 * len(w) for w in fresh) + ENTRY_BYTES * len(fresh)
         for word, pieces in zip(fresh, self._segment(fresh), strict=True):
             try:
                 self.known[word] = b"".join([ids[p] for p in pieces])
@@ -132,8 +134,9 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; an empty text has none."""
         words = [_WORDS.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         self._learn(set().union(*words))
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
@@ -165,7 +168,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 ids = [np.frombuffer(x, "<i4") for x in own.encode([t or "" for t in batch.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, ids array<int>")
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {id_type}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -185,7 +188,7 @@ def codec_report(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """Number and CRC of each document's ids, CRC of the text decoded from them, and whether it is the document's.
 
     Null texts are empty ones. A text that holds the mark itself comes back with spaces and is no round
-    trip. Repeated rows give repeated rows; other columns are not read.
+    trip. Repeated rows give repeated rows; other columns are not read; an empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
@@ -205,4 +208,4 @@ def codec_report(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, train_side
+from tidemark.llm.common import in_batches, slices, train_side
 
 #: Labelled documents of each class that training reads at most.
 SAMPLE = 2000
@@ -33,8 +33,8 @@ SAMPLE = 2000
 REACH = 6
 #: Emissions are held within this many nats.
 CLIP = 12.0
-#: Words whose emission a worker remembers, and the length of a scan block.
-CACHE_WORDS, BLOCK = 600_000, 64
+#: Bytes of words whose emission a worker remembers, what a word costs besides its text, and the length of a scan block.
+CACHE_BYTES, ENTRY_BYTES, BLOCK = 96 << 20, 150, 64
 
 WORD = re.compile(r"\w+")
 
@@ -67,8 +67,8 @@ class Model:
         return min(CLIP, max(-CLIP, self.bias + SCALE * total))
 
 
-def log_odds(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Log odds of the toxic state at each word, of documents laid end to end; ``first`` marks their first words.
+def recursions(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward ratios (toxic to clean) at each word, of documents laid end to end; ``first`` marks their first words.
 
     With two states the recursions act on ratios as fractional-linear maps. A document's first word is a
     map that ignores its argument, so one chain serves all documents. Maps are multiplied within blocks,
@@ -76,7 +76,7 @@ def log_odds(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.
     """
     n = len(emissions)
     if not n:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     t = np.exp(trans)
     size = -(-n // BLOCK) * BLOCK
     e = np.ones(size)
@@ -90,7 +90,30 @@ def log_odds(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.
     after = np.ones(size)
     after[:-1] = e[1:]
     back = _scan(*(x[::-1] for x in (np.where(ends, 0, t[1, 1] * after), np.where(ends, 1, t[1, 0]), np.where(ends, 0, t[0, 1] * after), np.where(ends, 1, t[0, 0]))))[::-1]
-    return np.log(np.maximum(ahead[:n] * back[:n], 1e-300))
+    return ahead[:n], back[:n]
+
+
+def log_odds(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Log odds of the toxic state at each word: its marginal."""
+    ahead, back = recursions(emissions, first, trans)
+    return np.log(np.maximum(ahead * back, 1e-300))
+
+
+def gradient(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the labels' log likelihood by emissions and by transitions: what is there, less what the field expects.
+
+    Expected transitions are the pairwise marginals of forward-backward: the forward ratio of the earlier
+    word, the transition, the later word's emission and backward ratio, normalised pair by pair.
+    """
+    ahead, back = recursions(emissions, first, trans)
+    p = ahead * back / (1 + ahead * back)
+    later = np.flatnonzero(~first)
+    t = np.exp(trans)
+    a, b = ahead[later - 1], np.exp(emissions[later]) * back[later]
+    cells = np.stack([np.full(len(later), t[0, 0]), t[0, 1] * b, a * t[1, 0], a * t[1, 1] * b])
+    expected = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    seen = np.bincount(2 * y[later - 1].astype(int) + y[later].astype(int), minlength=4).reshape(2, 2)
+    return y - p, seen - expected
 
 
 def _scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -121,7 +144,7 @@ def _windows(docs: list[list[str]], marks: list[np.ndarray], clean: list[bool],
 
 
 def _fit(model: Model, windows: list[tuple[list[str], np.ndarray]], rounds: int = 60, l2: float = 1e-4) -> None:
-    """Maximum likelihood of the windows' labels by Adagrad; the gradient is the labels less the marginals."""
+    """Maximum likelihood of the windows' labels by Adagrad."""
     words = sorted({w for x, _ in windows for w in x})
     index = {w: i for i, w in enumerate(words)}
     rows = [word_features(w) for w in words]
@@ -134,30 +157,19 @@ def _fit(model: Model, windows: list[tuple[list[str], np.ndarray]], rounds: int
     y = np.concatenate([m for _, m in windows]).astype(float)
     first = np.zeros(len(ids), bool)
     first[np.cumsum([0] + [len(x) for x, _ in windows[:-1]])] = True
-    pairs = np.flatnonzero(~first)
     seen_w, seen_t, seen_b = np.full(len(names), 1e-6), np.full((2, 2), 1e-6), 1e-6
-    inner = (y[pairs - 1].astype(int), y[pairs].astype(int))
     for _ in range(rounds):
         emission = np.clip(model.bias + SCALE * np.bincount(owner, weights[flat], len(words)), -CLIP, CLIP)[ids]
-        p = 1 / (1 + np.exp(-log_odds(emission, first, model.trans)))
-        grad_word = np.bincount(ids, y - p, len(words))
+        by_word, gt = gradient(emission, first, model.trans, y)
+        by_word = np.where(np.abs(emission) < CLIP, by_word, 0)  # beyond, the emission does not move
+        grad_word = np.bincount(ids, by_word, len(words))
         g = np.bincount(flat, SCALE * grad_word[owner], len(names)) / len(ids) * 100 - l2 * weights
         seen_w += g * g
         weights += 0.5 * g / np.sqrt(seen_w)
-        gb = (y - p).mean() * 100
+        gb = by_word.mean() * 100
         seen_b += gb * gb
         model.bias += 0.1 * gb / np.sqrt(seen_b)
-        # expected transitions from the marginals of neighbours, given the later word's state
-        gt = np.zeros((2, 2))
-        q = np.stack([1 - p, p])
-        for i in (0, 1):
-            for j in (0, 1):
-                joint = q[i][pairs - 1] * q[j][pairs] * np.exp(model.trans[i, j])
-                gt[i, j] = joint.sum()
-        gt = gt / gt.sum() * len(pairs)
-        real = np.zeros((2, 2))
-        real += np.bincount(2 * inner[0] + inner[1], minlength=4).reshape(2, 2)
-        gt = (real - gt) / len(ids)
+        gt = gt / len(ids)
         seen_t += gt * gt
         model.trans += 0.05 * gt / np.sqrt(seen_t)
         model.trans -= model.trans[0, 0]
@@ -244,11 +256,14 @@ class Scorer:
         self.known: set[str] = set()
         self.hot: dict[str, float] = {}
         self.least = FLOOR - 2 * float(np.abs(model.trans).max() * 2)
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear(), self.hot.clear()
+            self.held = 0
         fresh = set(words).difference(self.known)
+        self.held += sum(map(len, fresh)) + ENTRY_BYTES * len(fresh)
         emission, least = self.model.emission, self.least
         for w in fresh:
             e = emission(w)
@@ -296,11 +311,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = rows.where("_y = 1").orderBy(*order).limit(sample).unionByName(rows.where("_y = 0").orderBy(*order).limit(sample))
     # at most two samples of ids: the bound of the broadcast
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = {}
-    for r in joined.toLocalIterator():
-        if r["_text"] is not None and (r["_id"] not in found or r["_text"] < found[r["_id"]][0]):
-            found[r["_id"]] = (r["_text"], int(r["_y"]))
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), "_id")
+    # one text of each id, however often the id repeats
+    found = {r["_id"]: (r["_text"], int(r["_y"])) for r in joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).toLocalIterator()}
     at = sorted(found)
     return train([found[i][0] for i in at], [found[i][1] for i in at])
 
@@ -325,11 +338,15 @@ def score_documents(docs: DataFrame, model: Model, spans: bool = False, id_col:
                     columns.append(pa.array([[dict(zip(("start", "end", "prob"), s, strict=True)) for s in x] for x in found], kind))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "spans"][: len(columns)])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents, whole rows, that score below the threshold."""
+    """The documents, whole rows, that score below the threshold.
+
+    Null and empty texts, which have no words, score low and stay. Repeated rows go or stay together, whatever
+    other columns there are; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -338,4 +355,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
                 score, _ = scorer([t or "" for t in batch.column(text_col).to_pylist()])
                 yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
