@@ -52,6 +52,19 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """The staged table, to be broadcast if it has no more rows than the bound; beyond, the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """The same table, whose batches for Python hold BATCH_BYTES at most (or what the session says, if not the default)."""
     conf = df.sparkSession.conf

@@ -8,20 +8,23 @@
    split again at positions drawn from their path that it has not used, in expectation 1 / 0.8 of them, so
    that a pair at the threshold keeps its chance at every level. A bucket that a split leaves nearly whole
    is also compared in random blocks that share pivots, a new dealing for every path, and so are buckets
-   still large after DEPTH levels. Where nearly all sketches of such a bucket agree with one pivot's, these
-   are look-alikes, which the blocks link, and only the others are split again.
+   still large after DEPTH levels. Nodes of such a bucket whose sketches agree with a pivot's are settled:
+   their block links them to it, and only the others are split again. Nodes that went deeper than the runs
+   suffice for, by ``miss_rate`` and the target recall, get further runs among themselves.
 3. Nodes that look alike, by a bound well below the threshold, form candidate groups (connected
-   components). Within each group all pairs of nodes are compared exactly, in blocks of BLOCK by BLOCK
-   nodes, each pair of blocks a unit of work of its own. Only counts and stars of edges leave a unit.
+   components). A group of one block is compared exactly, all pairs. A larger one is dealt into blocks, by
+   nodes and shingles; pairs of blocks are first compared on sketches, and the shingles are sent only of
+   nodes that look like one of the other block. Only counts and stars of edges leave a unit.
 4. The exact links' components are the classes.
 
 A pair is lost only if its sketches differ by more than 4.5 standard deviations or no run and no chain of
-similar sets brings it together; ``miss_rate`` gives the probability. No bucket, group or document is capped.
+similar sets brings it together. No bucket, group or document is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -31,19 +34,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, staged
+from tidemark.llm.common import broadcast_within, discard, fresh, in_batches, slices, staged
 from tidemark.llm.components import components
 
 #: Words of a shingle; the threshold as a fraction.
 WORDS, NUM, DEN = 5, 4, 5
-SKETCH, RUNS, DEPTH, SMALL, BLOCK = 64, 8, 12, 128, 256
-#: A bucket that keeps this share of the one above may hold look-alikes, which no split separates;
-#: it does where this share of its nodes looks like its least node.
-ALONE, AGREE = 0.75, 0.9
+SKETCH, RUNS, DEPTH, SMALL = 64, 8, 12, 128
+#: Nodes and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Recall that the runs are repeated for.
+TARGET = 0.99
+#: A bucket that keeps this share of the one above may hold look-alikes, which no split separates.
+ALONE = 0.75
 #: Sampled tokens that two sketches must share to be compared exactly: 4.5 standard deviations under the threshold.
 ALIKE = 37
-#: Nodes whose ids may be broadcast (12 bytes each); beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 200_000
+#: Sampled tokens shared with a pivot from which a node counts as settled: what is similar to it is alike the pivot, too.
+SURE = 48
+#: Nodes whose ids may be broadcast (12 bytes each), buckets (40 bytes) and pivots (300 bytes); beyond, the joins shuffle.
+BROADCAST_IDS, BROADCAST_PATHS, BROADCAST_PIVOTS = 200_000, 100_000, 10_000
 
 _WORD = re.compile(r"\w+")
 _MIX = np.random.default_rng(3).integers(1, 2**63, 2 * WORDS + SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -93,9 +101,12 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for batch in slices(whole, "text"):
                 sets = [shingles(t or "") for t in batch.column("text").to_pylist()]
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(sets) + 1, SKETCH, dtype=np.int32)), pa.array(_sketches(sets).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([_key(s) for s in sets], pa.binary()), rows], ["doc_id", "digest", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("digest"), pa.array([_key(s) for s in sets], pa.binary()), rows, pa.array([len(s) for s in sets], pa.int64())],
+                    ["doc_id", "digest", "key", "sketch", "size"],
+                )
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, digest string, key binary, sketch array<int>")
+    return in_batches(docs).mapInArrow(run, f"doc_id {id_type}, digest string, key binary, sketch array<int>, size long")
 
 
 def _children(path: Column, sketch: Column, used: Column) -> Column:
@@ -110,23 +121,30 @@ def _children(path: Column, sketch: Column, used: Column) -> Column:
     return F.when(more, F.array(step(one), step(two))).otherwise(F.array(step(one)))
 
 
-def _look_alikes(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, node) of nodes that look like the least one of their bucket, in buckets where nearly all do."""
-    sketches = nodes.select("node", "sketch")
-    firsts = held.select("path", "lo").distinct().join(sketches.select(F.col("node").alias("lo"), F.col("sketch").alias("pivot")), "lo")
-    pairs = held.select("path", "node", "n").join(sketches, "node").join(firsts.select("path", "pivot"), "path")
-    shared = F.size(F.filter(F.arrays_zip("sketch", "pivot"), lambda x: x["sketch"] == x["pivot"]))
-    like = staged(pairs.where(shared >= ALIKE).select("path", "node", "n"), "like")
-    sure = like.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= AGREE * F.col("n"))
-    return like.join(sure.select("p"), F.col("path") == F.col("p"), "left_semi").select("path", "node")
+def _whole() -> Column:
+    return F.coalesce(F.col("n") >= ALONE * F.col("above"), F.lit(False))
 
 
-def _roots() -> list[tuple[int, int]]:
-    """(run, position) of the first level."""
+def _unsettled(split: DataFrame) -> DataFrame:
+    """Rows of large buckets that go on to the next level: all but those in nearly whole buckets that resemble a pivot.
+
+    Those are linked to it in their block already, so their pairs among themselves lie in one candidate group.
+    """
+    ends = split.where(_whole() & F.col("node").isin(F.col("lo"), F.col("hi")))
+    at = lambda end: F.first(F.when(F.col("node") == F.col(end), F.col("sketch")), ignorenulls=True).alias(f"_{end}")
+    pivots = staged(ends.groupBy(F.col("path").alias("p")).agg(at("lo"), at("hi")), "pivots")
+    shared = lambda pivot: F.size(F.filter(F.zip_with("sketch", pivot, lambda x, y: x == y), lambda same: same))
+    met = split.join(broadcast_within(pivots, BROADCAST_PIVOTS), F.col("path") == F.col("p"), "left")
+    return met.where(F.col("p").isNull() | (F.greatest(shared("_lo"), shared("_hi")) < SURE)).drop("p", "_lo", "_hi")
+
+
+def _roots(many: int = RUNS + RUNS // 4, first: int = 0) -> list[tuple[int, int]]:
+    """(run, position) of the first level: RUNS runs of one position, every fourth of them with a second one; then further runs."""
     rng = np.random.default_rng(5)
-    order = rng.permutation(SKETCH)
-    extra = rng.permutation(SKETCH)
-    return [(r, int(order[r % SKETCH])) for r in range(RUNS)] + [(r, int(extra[r % SKETCH])) for r in range(0, RUNS, 4)]
+    order, extra = rng.permutation(SKETCH), rng.permutation(SKETCH)
+    every = [(r, int(order[r % SKETCH])) for r in range(RUNS)] + [(r, int(extra[r % SKETCH])) for r in range(0, RUNS, 4)]
+    every += [(r, int(order[r % SKETCH])) for r in range(RUNS, RUNS + SKETCH)]
+    return every[first : first + many]
 
 
 def _stars(ids: list[int], pairs: np.ndarray) -> list[tuple[int, int]]:
@@ -165,11 +183,11 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) between nodes that look alike, from all buckets of all runs."""
-    first = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(r), F.lit(p), F.get("sketch", F.lit(p))).alias("path"), F.array(F.lit(p)).alias("used")) for r, p in _roots()]))
+def _buckets(nodes: DataFrame, roots: list[tuple[int, int]], enough: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """(path, part, node, pivots) of the buckets to compare, level by level, and the nodes that are still split beyond the depth ``enough``."""
+    first = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(r), F.lit(p), F.get("sketch", F.lit(p))).alias("path"), F.array(F.lit(p)).alias("used")) for r, p in roots]))
     rows = nodes.select("node", first.alias("child")).select("node", "child.*", F.lit(None).cast("long").alias("above"))
-    levels = []
+    levels, deep = [], []
 
     def deal(found: DataFrame) -> None:
         large = F.col("n") > SMALL
@@ -178,23 +196,38 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         levels.append(found.select("path", part.cast("long").alias("part"), "node", pivots.alias("pivots")))
 
     for depth in range(DEPTH + 1):
-        counts = rows.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
-        held = staged(rows.join(counts, F.col("path") == F.col("p")).select("path", "node", "used", "above", "n", "lo", "hi"), f"paths{depth}")
+        # counted apart and written: few buckets are broadcast, and of many a hot one's rows can be split by the join
+        counts = staged(rows.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), f"counts{depth}")
+        held = staged(rows.join(broadcast_within(counts, BROADCAST_PATHS), F.col("path") == F.col("p")).select("path", "node", "used", "above", "n", "lo", "hi"), f"paths{depth}")
+        discard(counts)
+        discard(rows)
         large = F.col("n") > SMALL
         if depth == DEPTH:
             deal(held)
             break
         deal(held.where(~large))
-        split = held.where(large)
+        split = staged(held.where(large).join(nodes.select("node", "sketch"), "node"), f"split{depth}")
         if split.isEmpty():
             break
-        whole = split.where(F.col("n") >= ALONE * F.col("above"))
-        if not whole.isEmpty():
-            deal(whole)
-            like = staged(_look_alikes(whole, nodes), f"like{depth}").select(F.col("path").alias("p"), F.col("node").alias("m"))
-            split = split.join(like, (F.col("path") == F.col("p")) & (F.col("node") == F.col("m")), "left_anti")
+        deal(held.where(large & _whole()))
+        left = _unsettled(split)
+        if depth >= enough:
+            deep.append(left.select("node"))
         children = F.explode(_children(F.col("path"), F.col("sketch"), F.col("used"))).alias("child")
-        rows = split.join(nodes.select("node", "sketch"), "node").select("node", children, F.col("n").alias("above")).select("node", "child.*", "above")
+        below = left.select("node", children, F.col("n").alias("above")).select("node", "child.*", "above")
+        rows = staged(below, f"children{depth}")
+    return levels, reduce(DataFrame.unionByName, deep).distinct() if deep else None
+
+
+def _candidates(nodes: DataFrame, target: float = TARGET) -> DataFrame:
+    """Edges (u, v) between nodes that look alike, from all buckets of all runs; runs are repeated until the target recall."""
+    roots = _roots()
+    enough = max((d for d in range(1, DEPTH + 1) if _lost(NUM / DEN, d) ** len(roots) <= 1 - target), default=0)
+    levels, deep = _buckets(nodes, roots, enough)
+    more = math.ceil(math.log(1 - target) / math.log(_lost(NUM / DEN, DEPTH))) - len(roots)
+    if deep is not None and more > 0:
+        again = staged(nodes.select("node", "sketch").join(deep, "node", "left_semi"), "deep")
+        levels += _buckets(again, _roots(more, len(roots)), DEPTH + 1)[0]
     dealt = reduce(DataFrame.unionByName, levels)
     merged = dealt.groupBy("path", "part").agg(F.sort_array(F.array_distinct(F.concat(F.collect_set("node"), F.first("pivots")))).alias("members"))
     # the same few nodes meet in most runs: each list is compared once
@@ -202,7 +235,61 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     spread = merged.select("bucket", F.explode("members").alias("node")).join(nodes.select("node", "sketch"), "node")
     grouped = spread.groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("rows"))
     buckets = grouped.select(F.transform("rows", lambda r: r["node"]).alias("nodes"), F.transform("rows", lambda r: r["sketch"]).alias("sketches"))
-    return buckets.mapInArrow(_alike, "u long, v long").distinct()
+    return in_batches(buckets).mapInArrow(_alike, "u long, v long").distinct()
+
+
+def _in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Units of work, each as one table, from rows that arrive sorted by unit (comp, x, y)."""
+    unit, held = None, []
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy() for c in ("comp", "x", "y")])
+        edges = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if i < j:
+                own = tuple(int(k) for k in keys[:, i])
+                if own != unit:
+                    if held:
+                        yield unit, pa.Table.from_batches(held).combine_chunks()
+                    unit, held = own, []
+                held.append(b.slice(i, j - i))
+    if held:
+        yield unit, pa.Table.from_batches(held).combine_chunks()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each unit of two blocks, or of one with itself, whose sketch looks like one of the other side."""
+    for (_, x, y), rows in _in_units(batches):
+        sk = np.asarray(rows.column("sketch").combine_chunks().flatten()).reshape(-1, SKETCH)
+        side = rows.column("side").to_numpy()
+        left, right = (np.arange(len(sk)),) * 2 if x == y else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        hit = np.zeros(len(sk), bool)
+        for i in range(0, len(left), 128):
+            part = left[i : i + 128]
+            same = np.zeros((len(part), len(right)), np.int16)
+            for t in range(SKETCH):
+                same += sk[part, t, None] == sk[None, right, t]
+            alike = same >= ALIKE
+            if x == y:
+                alike[np.arange(len(part)), part] = False
+            hit[part] |= alike.any(axis=1)
+            hit[right] |= alike.any(axis=0)
+        yield from rows.drop(["sketch"]).filter(pa.array(hit)).to_batches()
+
+
+def _units(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(comp, x, y, side, node, key, weight) of each unit's nodes: whole groups of one block, and what looks alike in pairs of blocks of the others."""
+    unit = ["comp", "x", "y", "side", "node", "key", "weight"]
+    zero = F.lit(0)
+    single = members.where("blocks = 1").select("comp", zero.alias("x"), zero.alias("y"), zero.alias("side"), "node", "key", "weight")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return single
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = large.join(nodes.select("node", "sketch"), "node").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = spread.select("comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "key", "weight", "sketch")
+    dealt = in_batches(pairs.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y"))
+    met = dealt.mapInArrow(_met, pairs.drop("sketch").schema)
+    return single.unionByName(staged(met, "met")).select(*unit)
 
 
 def _compare(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int, int]]:
@@ -249,23 +336,17 @@ def _compare(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links of each unit of work: rows arrive sorted by unit, with their side (0 or 1) of it."""
-
-    def out(unit: tuple, rows: list[tuple]) -> pa.RecordBatch:
+    for unit, table in _in_units(batches):
+        columns = [table.column(c).to_pylist() for c in ("node", "weight", "side", "shingles")]
+        rows = [(n, w, np.frombuffer(raw, np.uint64), s) for n, w, s, raw in zip(*columns, strict=True)]
         left, right = [r for r in rows if not r[3]], [r for r in rows if r[3]]
-        found = [] if not left or len(rows) < 2 else list(_compare(left, right if unit[1] != unit[2] else None)) if right or unit[1] == unit[2] else []
+        found = []
+        if unit[1] == unit[2]:
+            found = list(_compare(rows, None)) if len(rows) > 1 else []
+        elif left and right:
+            found = list(_compare(left, right))
         cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "links"])
-
-    unit, rows = None, []
-    for b in batches:
-        for comp, x, y, node, weight, side, raw in zip(*[b.column(c).to_pylist() for c in ("comp", "x", "y", "node", "weight", "side", "shingles")], strict=True):
-            if (comp, x, y) != unit:
-                if rows:
-                    yield out(unit, rows)
-                unit, rows = (comp, x, y), []
-            rows.append((node, weight, np.frombuffer(raw, np.uint64), side))
-    if rows:
-        yield out(unit, rows)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "links"])
 
 
 def _with_shingles(docs: DataFrame) -> DataFrame:
@@ -275,7 +356,7 @@ def _with_shingles(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t or "") for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
-    return docs.mapInArrow(run, "key binary, shingles binary")
+    return in_batches(docs).mapInArrow(run, "key binary, shingles binary")
 
 
 def _digest(text_col: str) -> Column:
@@ -296,22 +377,19 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``similar_documents`` with the text's ``digest`` and the class's ``label``, which is never null."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = staged(_sketched(docs.withColumn("digest", _digest("text"))), "sketches")
-    found = rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.count("*").alias("weight"), F.min("doc_id").alias("least"))
+    found = rows.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.count("*").alias("weight"), F.min("doc_id").alias("least"))
     nodes = staged(found.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by the writing
     groups = components(_candidates(nodes))
-    members = groups.withColumnRenamed("label", "comp").join(nodes.select("node", "key", "weight", "least"), "node")
-    sizes = groups.groupBy(F.col("label").alias("c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = staged(members.join(sizes, F.col("comp") == F.col("c")).drop("c"), "members")
+    members = groups.withColumnRenamed("label", "comp").join(nodes.select("node", "key", "weight", "least", "size"), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy(F.col("comp").alias("c")).agg(blocks.alias("blocks"))
+    members = staged(members.join(sizes, F.col("comp") == F.col("c")).drop("c", "size"), "members")
 
-    ids = members.select(F.col("least").alias("_id"))
-    if members.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = broadcast_within(members.select(F.col("least").alias("_id")), BROADCAST_IDS)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = _with_shingles(texts.select("doc_id", "text")).dropDuplicates(["key"])
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = members.join(sets, "key").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "weight", (F.col("own") > F.col("other")).cast("int").alias("side"), "shingles")
-    dealt = units.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    units = _units(members, nodes).join(sets, "key")
+    dealt = in_batches(units.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y"))
     links = staged(dealt.mapInArrow(_verify, "u long, v long, links long"), "links")
 
     counted = links.where("v < 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
@@ -326,29 +404,38 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each class: of the least id and, where ids repeat, the least digest of the text.
 
-    Rows are told apart by id and digest, so null and repeated ids remove only rows of their own class.
+    Rows are told apart by id and digest, so null and repeated ids remove only rows of their own class. Null
+    texts are empty ones. All columns stay, whatever their names; an empty table gives no rows.
     """
     found = staged(_classified(docs, id_col, text_col).select("doc_id", "digest", "label"), "classes")
     pairs = found.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n"))
     first = found.groupBy(F.col("label").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
     marked = pairs.join(first, F.col("label") == F.col("c")).withColumn("kept", F.col("digest").eqNullSafe(F.col("first.digest")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    own_id, own_digest = fresh(docs, "_id"), fresh(docs, "_digest")
     # rows to take out: all of a pair that isn't kept, and of one that repeats, whose rows are then put back once
-    out = staged(marked.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept"), "gone")
-    back = out.where("kept")
-    many = back.limit(1).count() > 0
+    out = staged(marked.where("NOT kept OR n > 1").select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest), "kept"), "gone")
+    back = out.where("kept").drop("kept")
+    many = not back.isEmpty()
     if out.count() <= BROADCAST_IDS:
-        out, back = F.broadcast(out), F.broadcast(back)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (_digest(text_col) == F.col("_digest"))
-    kept = docs.join(out, same, "left_anti")
+        gone, back = F.broadcast(out.drop("kept")), F.broadcast(back)
+    else:
+        gone = out.drop("kept")
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (_digest(text_col) == F.col(own_digest))
+    kept = docs.join(gone, same, "left_anti")
     if not many:
         return kept
-    repeated = docs.join(back, same, "left_semi").withColumn("_digest", _digest(text_col))
-    return kept.unionByName(repeated.dropDuplicates([id_col, "_digest"]).drop("_digest"))
+    repeated = docs.join(back, same, "left_semi").withColumn(own_digest, _digest(text_col))
+    return kept.unionByName(repeated.dropDuplicates([id_col, own_digest]).drop(own_digest))
 
 
-def miss_rate(similarity: float, depth: int = 1) -> float:
-    """Chance that no run brings a pair of this similarity into a common bucket of the given depth."""
+def _lost(similarity: float, depth: int) -> float:
+    """Chance that one root does not bring a pair of this similarity into a common bucket of the given depth."""
     lost = 1 - similarity
     for _ in range(depth - 1):  # a child is lost unless its own position, or the second one where drawn, is shared
         lost = 1 - similarity * (1 - (lost * (0.75 + 0.25 * lost)))
-    return float(lost ** len(_roots()))
+    return lost
+
+
+def miss_rate(similarity: float, depth: int = 1) -> float:
+    """Chance that no run of the first batch brings a pair of this similarity into a common bucket of the given depth."""
+    return float(_lost(similarity, depth) ** len(_roots()))
