@@ -23,10 +23,15 @@ def test_salary(spark):
         "From $120,000 per annum": ("known", 120000.0, None, "year", None, None, "from"),
         "$1k - $1100 p.d.": ("known", 1000.0, 1100.0, "day", None, None, "range"),
         "AUD $1,200.50 per week": ("known", 1200.5, 1200.5, "week", "AUD", None, "exact"),
+        "NZD 90k to 110k package": ("known", 90000.0, 110000.0, None, "NZD", "package", "range"),
+        "$95-105k p.a. inc. super": ("known", 95000.0, 105000.0, "year", None, "includes_super", "range"),
+        "minimum 31.25 p/h plus 11.5% super": ("known", 31.25, None, "hour", None, "plus_super", "from"),
+        "1.2m per annum + up to 17% superannuation & leave loading": ("known", 1200000.0, 1200000.0, "year", None, "plus_super", "exact"),
+        "700 p d": ("known", 700.0, 700.0, "day", None, None, "exact"),
     }
     for got, want in zip(apply(spark, salary.normalize_salary, list(cases)), cases.values(), strict=True):
         assert tuple(got) == want
-    unknown = ["Competitive", "", None, "we have 5 great benefits", "80% of market", "$154231.0k per year", "$65-$75 per year", "$40K-$65K per hour"]
+    unknown = ["Competitive", "", None, "we have 5 great benefits", "70% of base", "99999k annual", "$31-$42 annually", "$52K-$58K hourly", "usd500", "from 10 to 5 per hour", "1 2 3 per day", "30 per 3rd week", "12,34 per day"]
     assert [g["state"] for g in apply(spark, salary.normalize_salary, unknown)] == ["unknown"] * len(unknown)
     assert apply(spark, salary.normalize_salary, ["N/A"])[0]["state"] == "not_applicable"
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UNITS = "one two three four five six seven eight nine".split()
-_TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-#: Values of number words, by rule: units from 1, teens from 10, tens from 20.
-NUMBERS = {"a": 1, "an": 1} | {w: i + 1 for i, w in enumerate(_UNITS)} | {w: i + 10 for i, w in enumerate(_TEENS)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}
-_WORD = "|".join(sorted(NUMBERS, key=len, reverse=True))
-_LABEL = rf"(?i)\b([0-9]+|(?:{_WORD})(?:[\s-]+(?:{'|'.join(_UNITS)}))?)\s*(minutes?|mins?|hours?|hrs?|h|days?|d|weeks?|w)\s+ago\b"
+#: Number words.
+ONES = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+TEENS = ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+NUMBERS = {"a": 1, "an": 1} | {w: i for i, w in enumerate(ONES, 1)} | {w: i for i, w in enumerate(TEENS, 10)} | {w: 10 * i for i, w in enumerate(TENS, 2)}
+#: Units of a label with their abbreviations (each also in the plural) and seconds.
+UNITS = {("minute", "min"): 60, ("hour", "hr"): 3600, ("day",): 86_400, ("week",): 604_800}
+LETTERS = {"h": 3600, "d": 86_400, "w": 604_800}
+SECONDS = {w + s: n for words, n in UNITS.items() for w in words for s in ("", "s")} | LETTERS
 #: What a casting of text to a timestamp must look like, so that no lenient reading slips in.
 STRICT_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 #: Rank of what a date rests on; higher wins a merge.
@@ -23,19 +25,30 @@ def strict_timestamp(c: Column) -> Column:
     return F.when(F.trim(c).rlike(STRICT_ISO), F.trim(c).try_cast("timestamp"))
 
 
+def _lookup(table: dict[str, int], key: Column) -> Column:
+    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])[key]
+
+
 def number_word(c: Column) -> Column:
     """The value of digits or of one or two number words."""
-    parts = F.split(F.trim(F.regexp_replace(F.lower(c), "-", " ")), r"\s+")
-    words = F.create_map(*[x for k, v in NUMBERS.items() for x in (F.lit(k), F.lit(v))])
-    spelt = F.when((F.size(parts) == 1) | F.get(parts, F.lit(0)).isin(*_TENS), F.aggregate(parts, F.lit(0), lambda acc, w: acc + words[w]))
-    return F.coalesce(c.try_cast("int"), spelt)
+    parts = F.regexp_extract_all(F.lower(c), F.lit("[0-9]+|[a-z]+"), F.lit(0))
+    return F.when(F.size(parts) <= 2, _count(parts, F.size(parts) - 1, alone=True))
+
+
+def _count(parts: Column, at: Column, alone: bool = False) -> Column:
+    """The number that ends at a token: digits, a word, or a word for tens before one for ones. ``alone``: with nothing before it."""
+    here, before = F.get(parts, at), F.when(at > 0, F.get(parts, at - 1))
+    value = F.coalesce(here.try_cast("int"), _lookup(NUMBERS, here))
+    both = F.when(before.isin(*TENS) & here.isin(*ONES), _lookup(NUMBERS, before) + value)
+    return F.coalesce(both, F.when(at == 0, value) if alone else value)
 
 
 def relative_seconds(label: Column) -> Column:
-    """Seconds before capture that a label such as ``two days ago`` names, or null."""
-    count, unit = F.regexp_extract(label, _LABEL, 1), F.lower(F.regexp_extract(label, _LABEL, 2))
-    size = F.when(unit.startswith("min"), 60).when(unit.startswith("h"), 3600).when(unit.startswith("d"), 86_400).otherwise(604_800)
-    return F.when(label.rlike(_LABEL), number_word(count).cast("long") * size)
+    """Seconds before capture that a label such as ``two days ago`` names, or null: a number, a unit and ``ago`` in a row."""
+    parts = F.regexp_extract_all(F.lower(label), F.lit("[0-9]+|[a-z]+"), F.lit(0))
+    named = lambda t, i: F.when(F.get(t, i) == "ago", _count(t, i - 2).cast("long") * _lookup(SECONDS, F.get(t, i - 1)))
+    found = lambda t: F.filter(F.transform(F.sequence(F.lit(2), F.size(t) - 1), lambda i: named(t, i)), lambda x: x.isNotNull())
+    return F.get(F.transform(F.array(parts), lambda t: F.when(F.size(t) >= 3, F.get(found(t), F.lit(0)))), F.lit(0))
 
 
 def posting_date(posted_at: Column, posted_text: Column, captured_at: Column, window_hours: Column | None = None) -> Column:
