@@ -78,6 +78,18 @@ def check_interval(least: float | None, most: float | None, period: str | None,
         raise ValueError("the least exceeds the most")
 
 
+def check_names(names: list[str], allowed: tuple[str, ...]) -> None:
+    """Reject states of fields that there are not."""
+    if other := sorted(set(names) - set(allowed)):
+        raise ValueError(f"unknown fields: {', '.join(other)}")
+
+
+def capability(source: Column, field: Column, table: dict[str, dict[str, str]]) -> Column:
+    """What a source can tell of a field, by a table of sources; anything not in it is ``unknown``."""
+    entries = [x for s, known in table.items() for f, v in known.items() for x in (F.lit(f"{s}\x1f{f}"), F.lit(v))]
+    return F.coalesce(F.create_map(*entries)[F.concat_ws("\x1f", F.lower(F.trim(source)), field)], F.lit("unknown"))
+
+
 def derived_state(explicit: Column, value: Column, observed: Column) -> Column:
     """The state to record: an explicit one, else known for a value, else unknown; not_present only where the source was seen to lack it."""
     return F.coalesce(F.when(explicit.isin(*STATES), explicit), F.when(F.trim(value.cast("string")) != "", F.lit("known")), F.when(observed, F.lit("not_present")), F.lit("unknown"))

@@ -27,14 +27,21 @@ def clean(c: Column) -> Column:
 
 
 def canonical_url(c: Column) -> Column:
-    """Scheme and host in lower case, tracking parameters, fragment and trailing slashes removed; blank gives null."""
+    """Scheme and host in lower case, tracking parameters, fragment and trailing slashes removed; blank gives null.
+
+    Parameters are decoded and encoded again, so that one spelling remains: ``a`` is ``a=``, ``%20`` is ``+``.
+    """
     url = F.regexp_replace(F.trim(c), "#.*$", "")
     head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?]*)?([^?]*)", 1), "/+$", "")
     query = F.regexp_extract(url, r"\?(.*)$", 1)
-    key = lambda kv: F.lower(F.substring_index(kv, "=", 1))
-    kept = F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~key(kv).isin(*TRACKING_KEYS) & ~key(kv).startswith("utm_"))
-    tail = F.array_join(kept, "&")
+    plain = lambda part: F.coalesce(F.try_url_decode(part), part)
+    again = lambda part: F.replace(F.replace(F.url_encode(plain(part)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    key = lambda kv: F.substring_index(kv, "=", 1)
+    name = lambda kv: F.lower(plain(key(kv)))
+    kept = F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~name(kv).isin(*TRACKING_KEYS) & ~name(kv).startswith("utm_"))
+    value = lambda kv: F.substr(kv, F.length(key(kv)) + 2)
+    tail = F.array_join(F.transform(kept, lambda kv: F.concat(again(key(kv)), F.lit("="), again(value(kv)))), "&")
     return F.when(F.trim(c) != "", F.concat(F.lower(head), path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise("")))
 
 
@@ -147,6 +154,37 @@ def applicant_count(c: Column) -> Column:
     return F.when(~vague, digits.try_cast("int"))
 
 
+def apply_method(apply_link: Column, page: Column) -> Column:
+    """``external_apply`` for a link of its own, ``easy_apply`` without one, else ``unknown``."""
+    link = F.trim(F.coalesce(apply_link, F.lit("")))
+    return F.when((link != "") & (link != F.trim(F.coalesce(page, F.lit("")))), "external_apply").when(link == "", "easy_apply").otherwise("unknown")
+
+
+def url_parts(c: Column) -> dict[str, Column]:
+    """Host in lower case, path without trailing slashes and a map of the decoded parameters."""
+    query = F.regexp_extract(c, r"\?([^#]*)", 1)
+    plain = lambda part: F.coalesce(F.try_url_decode(part), part)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda kv: kv != ""), lambda kv: F.struct(plain(F.substring_index(kv, "=", 1)).alias("k"), plain(F.substr(kv, F.length(F.substring_index(kv, "=", 1)) + 2)).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+    return {
+        "host": F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)),
+        "path": F.regexp_replace(F.regexp_extract(c, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), "/+$", ""),
+        "params": F.map_from_entries(last),
+    }
+
+
+def same_page(actual: Column, expected: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a URL shows the page that was asked for: hosts of the site, equal paths, and all expected parameters. No URL counts as yes."""
+    a, e = url_parts(F.coalesce(actual, F.lit(""))), url_parts(expected)
+    met = F.forall(F.map_entries(e["params"]), lambda p: F.coalesce(a["params"][p["key"]] == p["value"], F.lit(False)))
+    return (a["host"] == "") | (a["host"].isin(*hosts) & e["host"].isin(*hosts) & (a["path"] == e["path"]) & met)
+
+
+def date_range_hours(url: Column) -> Column:
+    """Hours of the search window that a URL's ``daterange`` (days) names, or null."""
+    return F.regexp_extract(url, r"[?&]daterange=([0-9]+)(?=[&#]|$)", 1).try_cast("int") * 24
+
+
 def page_url(url: Column, page: Column) -> Column:
     """The URL of a result page: ``page`` is set beyond the first and removed on the first."""
     bare = F.regexp_replace(F.regexp_replace(url, r"([?&])page=[^&#]*&?", "$1"), r"[?&]$", "")
