@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def retention(records: DataFrame, id_col: str, primary_col: str, last_seen: Column, archived: Column, archive_before: Column | None, remove_before: Column | None) -> DataFrame:
     """Add ``phase``: ``remove``, ``archive`` or ``keep``. Either phase is off where its bound is None.
 
-    A row archived in this run may be removed in it; a live alias (one that stays) holds its primary back.
+    A row archived in this run may be removed in it; an alias that is not archived holds its primary back.
     """
     if archive_before is None:
         remove_before = None
@@ -18,7 +18,7 @@ def retention(records: DataFrame, id_col: str, primary_col: str, last_seen: Colu
     df = records.withColumn("_archived", will_archive)
     due = F.col("_archived") & (last_seen < remove_before) if remove_before is not None else F.lit(False)
     df = df.withColumn("_due", due)
-    alive = df.where(F.col(primary_col).isNotNull() & ~F.col("_due")).select(F.col(primary_col).alias("_p")).distinct()
+    alive = df.where(F.col(primary_col).isNotNull() & ~F.col("_archived")).select(F.col(primary_col).alias("_p")).distinct()
     df = df.join(alive, F.col(id_col) == F.col("_p"), "left")
     phase = F.when(F.col("_due") & F.col("_p").isNull(), "remove").when(F.col("_archived") & ~archived, "archive").otherwise("keep")
     return df.withColumn("phase", phase).drop("_archived", "_due", "_p")
@@ -40,11 +40,22 @@ def enqueue(records: DataFrame, id_col: str, vacancy: str, has_text: Column, que
     return todo.join(queue.select(F.col("job_id").alias("_q")), F.col(id_col) == F.col("_q"), "left_anti")
 
 
-def dequeue(queue: DataFrame, records: DataFrame, id_col: str, vacancy: str, is_active: Column, attempts_below: int, since: Column, limit: int) -> DataFrame:
-    """Distinct active primaries that are due: queued since a time, tried before or failed, with attempts left."""
-    due = queue.where((F.col("attempts") < attempts_below) & ((F.col("queued_at") >= since) | (F.col("attempts") > 0) | F.col("last_error").isNotNull()))
+def dequeue(queue: DataFrame, records: DataFrame, id_col: str, vacancy: str, is_active: Column, text: Column, attempts_below: int = 2, since: Column | None = None, limit: int | None = None, source: str | None = None) -> DataFrame:
+    """Distinct primaries without a text of active rows that are due: queued since a time, tried before or failed, with attempts left."""
+    due = queue.where(F.col("attempts") < attempts_below)
+    if source is not None:
+        due = due.where(F.col("source") == source.strip().lower())
+    if since is not None:
+        due = due.where((F.col("queued_at") >= since) | (F.col("attempts") > 0) | F.col("last_error").isNotNull())
     on = records.where(is_active).select(F.col(id_col).alias("_id"), F.col(vacancy).alias("primary_id"))
-    return due.join(on, F.col("job_id") == F.col("_id")).select("primary_id").distinct().orderBy("primary_id").limit(limit)
+    bare = records.where(F.trim(F.coalesce(text, F.lit(""))) == "").select(F.col(id_col).alias("_p"))
+    found = due.join(on, F.col("job_id") == F.col("_id")).join(bare, F.col("primary_id") == F.col("_p"), "left_semi").select("primary_id").distinct()
+    return found if limit is None else found.orderBy("primary_id").limit(limit)
+
+
+def prune(captures: DataFrame, ts: str, before: Column) -> DataFrame:
+    """The captures that stay: those not older than a bound."""
+    return captures.where(F.col(ts) >= before)
 
 
 def defer(queue: DataFrame, failed: DataFrame) -> DataFrame:
@@ -77,13 +88,17 @@ def bounded_repair(candidates: DataFrame, attempted: DataFrame, id_col: str, lim
     return candidates.join(attempted.select(F.col(id_col).alias("_t")), F.col(id_col) == F.col("_t"), "left_anti").orderBy(id_col).limit(limit)
 
 
-def unique_window(points: DataFrame, windows: DataFrame, key: str, ts: str, start: str, end: str, value: str, point_id: str) -> DataFrame:
+def unique_window(points: DataFrame, windows: DataFrame, key: str, ts: str, start: str, end: str, value: str, point_id: str, width: int) -> DataFrame:
     """The value of the windows that hold a point, where all that do agree on one.
 
-    Key equality keeps it a hash join; the range is checked on its matches.
+    The join is on key and time slot of ``width`` seconds: a point lies in one slot, a window in those that it
+    touches, so a hot key meets slot by slot and not as one product. The range is checked on the matches.
     """
-    w = windows.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"))
-    met = points.join(w, (F.col(key) == F.col("_k")) & F.col(ts).between(F.col("_s"), F.col("_e")))
+    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (width * 1_000_000)).cast("long")
+    w = windows.where(F.col(start) <= F.col(end)).select(
+        F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"), F.explode(F.sequence(slot(start), slot(end))).alias("_slot")
+    )
+    met = points.withColumn("_at", slot(ts)).join(w, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_slot")) & F.col(ts).between(F.col("_s"), F.col("_e")))
     return met.groupBy(point_id).agg(F.count_distinct("_v").alias("_n"), F.min("_v").alias(value)).where("_n = 1").drop("_n")
 
 

@@ -33,6 +33,35 @@ def observation_state(obs: DataFrame, key: str, ts: str, order: Column) -> DataF
     return obs.groupBy(key).agg(F.min(ts).alias("first_seen"), F.max_by(ts, order).alias("last_seen"), F.count("*").alias("capture_count"))
 
 
+def refresh_state(state: DataFrame, obs: DataFrame, key: str, ts: str, order: Column) -> DataFrame:
+    """The state table after new observations: what is seen again is no longer archived, the rest stays as it is."""
+    new = observation_state(obs, key, ts, order).withColumnsRenamed({key: "_k", "first_seen": "_first", "last_seen": "_last", "capture_count": "_n"})
+    both = state.join(new, F.col(key) == F.col("_k"), "full")
+    return both.select(
+        F.coalesce(key, "_k").alias(key),
+        F.least("first_seen", "_first").alias("first_seen"),
+        F.coalesce("_last", "last_seen").alias("last_seen"),
+        (F.coalesce("capture_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("capture_count"),
+        (F.col("_k").isNull() & F.coalesce("archived", F.lit(False))).alias("archived"),
+    )
+
+
+def query_counters(found: DataFrame, query: str, job: str, primary: str, created: str) -> DataFrame:
+    """Counters of each discovery query: cards, jobs that are new to the market, and duplicates.
+
+    A new row that joins a known vacancy counts as a duplicate, not as new.
+    """
+    alias = F.col(primary) != F.col(job)
+    new = F.coalesce(F.col(created), F.lit(False)) & ~F.coalesce(alias, F.lit(False))
+    return found.groupBy(query).agg(F.count("*").alias("cards"), F.count_if(new).alias("new_jobs"), F.count_if(~new).alias("duplicates"))
+
+
+def overlay(existing: DataFrame, edits: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Records with edits laid over them: what an edit leaves out stays, and an unknown key is inserted."""
+    new = edits.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in fields])
+    return existing.join(new, F.col(key) == F.col("_k"), "full").select(F.coalesce(key, "_k").alias(key), *[F.coalesce(f"_{c}", c).alias(c) for c in fields])
+
+
 def rank_merge(obs: DataFrame, key: str, value: str, rank: Column, seq: Column, exact_rank: int = 3) -> DataFrame:
     """The value of the highest rank; among the exact the longest text; then the first to arrive."""
     r = rank.alias("r")
@@ -41,8 +70,11 @@ def rank_merge(obs: DataFrame, key: str, value: str, rank: Column, seq: Column,
 
 
 def fill_only(current: DataFrame, detail: DataFrame, key: str, fill: list[str], refresh: list[str] = (), sticky: list[str] = ()) -> DataFrame:
-    """Fill blanks from a detail record, take ``refresh`` fields from it, and keep ``sticky`` booleans set."""
-    new = detail.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in (*fill, *refresh, *sticky)])
+    """Fill blanks from a detail record, take ``refresh`` fields from it, and keep ``sticky`` booleans set.
+
+    Of several details of one key the greatest known value of each field counts, so no record is multiplied.
+    """
+    new = detail.groupBy(F.col(key).alias("_k")).agg(*[F.max(c).alias(f"_{c}") for c in (*fill, *refresh, *sticky)])
     out = current.join(new, F.col(key) == F.col("_k"), "left")
     blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     changes = {c: F.when(blank(c).isNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in fill}

@@ -98,14 +98,19 @@ def replay(block: pd.DataFrame) -> pd.DataFrame:
     kind: dict = {}
     by_place: dict = {}
     for r in rows:
-        if r["locality"]:
-            by_place.setdefault((r["n_source"], r["locality"]), []).append(r["id"])
+        for place in {("at", r["locality"]), ("in", r["region"])}:
+            if place[1]:
+                by_place.setdefault((r["n_source"], *place), []).append(r["id"])
 
     def alone(a: dict, b: dict) -> bool:
+        """Whether each source has one group at the place of ``a`` or in its region: that of the card itself."""
         if a["locality"] != b["locality"]:
             return True  # a region match
-        groups = lambda r: {primary[i] for i in by_place[r["n_source"], r["locality"]]}
-        return len(groups(a)) == 1 and len(groups(b)) == 1
+        for r in (a, b):
+            near = by_place.get((r["n_source"], "at", a["locality"]), []) + (by_place.get((r["n_source"], "in", a["region"]), []) if a["region"] else [])
+            if {primary[i] for i in near} != {primary[r["id"]]}:
+                return False
+        return True
 
     for me in rows:
         best = None
@@ -148,6 +153,47 @@ def same_vacancy(cards: DataFrame) -> DataFrame:
     return grouped.unionByName(single.select("id", F.col("id").alias("primary_id"), F.lit(None).cast("string").alias("match_type")))
 
 
+def rebuilt(assigned: DataFrame, cards: DataFrame) -> DataFrame:
+    """The assignment with every block replayed that holds a group of several localities; all other rows stay as they are."""
+    bad = conflicting_groups(assigned, cards).select(F.col("primary_id").alias("_bad"))
+    block = prepared(cards).select(F.col("id").alias("_id"), "block")
+    hit = assigned.join(bad, F.col("primary_id") == F.col("_bad"), "left_semi").join(block, F.col("id") == F.col("_id")).select(F.col("block").alias("_block")).distinct()
+    redo = block.join(hit, F.col("block") == F.col("_block"), "left_semi").select(F.col("_id").alias("_redo"))
+    kept = assigned.join(redo, F.col("id") == F.col("_redo"), "left_anti")
+    return kept.unionByName(same_vacancy(cards.join(redo, F.col("id") == F.col("_redo"), "left_semi")).select(*assigned.columns))
+
+
+def link_audit(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows whose primary changed between two assignments: old and new primary, and what was done."""
+    both = before.select("id", F.col("primary_id").alias("old_primary")).join(after.select("id", F.col("primary_id").alias("new_primary")), "id", "full")
+    alone = F.col("new_primary") == F.col("id")
+    action = F.when(F.col("old_primary").isNull(), "added").when(F.col("new_primary").isNull(), "removed").when(alone, "unlinked").when(F.col("old_primary") == F.col("id"), "linked").otherwise("moved")
+    return both.where(~F.col("old_primary").eqNullSafe(F.col("new_primary"))).withColumn("action", action)
+
+
+def resolved_primaries(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, root) of each row's chain of primaries, by pointer doubling; a chain that goes in a circle is an error.
+
+    ``links`` has (id, primary_id); null ends a chain, as does an id without a row. A round squares the
+    length that a pointer spans, so few are needed whatever the length.
+    """
+    from tidemark.staging import staged
+
+    now = staged(links.select("id", F.coalesce("primary_id", "id").alias("root")), "roots")
+    for _ in range(rounds):
+        step = now.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+        jumped = now.join(step, F.col("root") == F.col("_id"), "left").select("id", F.coalesce("_root", "root").alias("next"), "root")
+        jumped = staged(jumped, "roots")
+        moved = jumped.where("next <> root").limit(1).count()
+        now = jumped.select("id", F.col("next").alias("root"))
+        if not moved:
+            looped = links.where("primary_id IS NOT NULL").select("id").join(now.where("id = root").select("id"), "id").limit(1).count()
+            if looped:
+                raise RuntimeError("a chain of primaries goes in a circle")
+            return now
+    raise RuntimeError("a chain of primaries goes in a circle")
+
+
 def conflicting_groups(assigned: DataFrame, cards: DataFrame) -> DataFrame:
     """Primaries of groups that hold more than one locality: the ones to rebuild."""
     named = prepared(cards).where("locality <> ''").select("id", "locality")

@@ -18,6 +18,7 @@ from tidemark.operators import coverage, feed, lifecycle, merge, resolve
 from tidemark.plans import search as S
 from tidemark.session import table
 from tidemark.sources import readers
+from tidemark.staging import staged
 from tidemark.streaming import state as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +69,8 @@ def feed_page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings: the vacancy is the least id of equal folded texts; its own id means no primary."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", X.fingerprint(X.fold(F.col("text"))).alias("fp"))
+    # written once: else every use of the fingerprint reads, folds and hashes all texts again
+    docs = staged(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", X.fingerprint(X.fold(F.col("text"))).alias("fp")), "postings")
     least = docs.groupBy(F.col("fp").alias("_f")).agg(F.min("doc_id").alias("vacancy"))
     return docs.join(least, F.col("fp") == F.col("_f")).drop("_f").withColumn("primary_id", F.when(F.col("vacancy") != F.col("doc_id"), F.col("vacancy")))
 
@@ -117,8 +119,10 @@ _URL = r"""(SELECT page_id, url, regexp_replace(trim(url), '#.*$', '') AS u FROM
 _CANON = r"""lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || regexp_replace(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?]*)?([^?]*)', 1), '/+$', '') ||
 CASE WHEN q = '' THEN '' ELSE '?' || q END"""
 _PAGES = rf"""WITH a AS (SELECT *, array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
-  lambda kv: kv <> '' AND lower(string_split(kv, '=')[1]) NOT IN ('ref', 'refid', 'trackingid', 'trk') AND NOT starts_with(lower(string_split(kv, '=')[1]), 'utm_')), '&') AS q FROM {_URL}),
-c AS (SELECT page_id, url, {_CANON} AS canonical_url FROM a)
+  lambda kv: kv <> '' AND lower(string_split(kv, '=')[1]) NOT IN ('ref', 'refid', 'trackingid', 'trk') AND NOT starts_with(lower(string_split(kv, '=')[1]), 'utm_')), '&') AS raw FROM {_URL}),
+e AS (SELECT *, array_to_string(list_transform(list_filter(string_split(raw, '&'), lambda kv: kv <> ''), lambda kv: replace(url_encode(url_decode(replace(string_split(kv, '=')[1], '+', ' '))), '%20', '+') || '=' ||
+  replace(url_encode(url_decode(replace(substr(kv, length(string_split(kv, '=')[1]) + 2), '+', ' '))), '%20', '+')), '&') AS q FROM a),
+c AS (SELECT page_id, url, {_CANON} AS canonical_url FROM e)
 """
 
 
@@ -336,7 +340,7 @@ def _retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RETAIN = """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey - 1 END AS primary_id, o_orderdate, o_orderstatus = 'F' AS was FROM orders),
 a AS (SELECT *, was OR o_orderdate < TIMESTAMP '1998-01-01' AS archived FROM r), d AS (SELECT *, archived AND o_orderdate < TIMESTAMP '1996-06-01' AS due FROM a),
-f AS (SELECT d.*, EXISTS (SELECT 1 FROM d x WHERE x.primary_id = d.o_orderkey AND NOT x.due) AS held FROM d)
+f AS (SELECT d.*, EXISTS (SELECT 1 FROM d x WHERE x.primary_id = d.o_orderkey AND NOT x.archived) AS held FROM d)
 """
 
 
@@ -360,13 +364,14 @@ def family_reroot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.reroot(members, "vacancy", "id", F.col("live"), "o_orderdate").select("vacancy", "new_primary").distinct()
 
 
-@query("""SELECT DISTINCT o.o_custkey AS primary_id FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-WHERE l_linenumber < 3 AND (l_shipdate >= TIMESTAMP '1999-01-01' OR l_returnflag = 'R') AND o_orderstatus <> 'F' ORDER BY 1 LIMIT 300""")
+@query("""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS vacancy, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE ' ' END AS body FROM orders)
+SELECT DISTINCT r.vacancy AS primary_id FROM lineitem l JOIN r ON l_orderkey = r.id JOIN r p ON p.id = r.vacancy
+WHERE l_linenumber < 3 AND l_linestatus = 'O' AND r.o_orderstatus <> 'F' AND trim(p.body) = '' AND (l_shipdate >= TIMESTAMP '1998-06-01' OR l_linenumber > 1 OR l_returnflag = 'R') ORDER BY 1 LIMIT 300""")
 def queue_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") - 1).alias("attempts"), F.col("l_shipdate").alias("queued_at"), F.when(F.col("l_returnflag") == "R", "failed").alias("last_error"))
-    # an attempt alone does not make a row due here, as it does in general: attempts start at the line's number
-    queue = queue.withColumn("due", (F.col("queued_at") >= "1999-01-01") | F.col("last_error").isNotNull()).where("due")
-    return lifecycle.dequeue(queue, table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", _open(), 2, F.lit("1990-01-01").cast("timestamp"), 300)
+    key = F.col("o_orderkey")
+    records = table(spark, sf_dir, "orders").select(key.alias("id"), F.when(key % 3 == 1, key - 1).otherwise(key).alias("vacancy"), "o_orderstatus", F.when(key % 5 == 0, F.col("o_orderpriority")).otherwise(" ").alias("body"))
+    queue = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.lower("l_linestatus").alias("source"), (F.col("l_linenumber") - 1).alias("attempts"), F.col("l_shipdate").alias("queued_at"), F.when(F.col("l_returnflag") == "R", "failed").alias("last_error"))
+    return lifecycle.dequeue(queue, records, "id", "vacancy", _open(), F.col("body"), 2, F.lit("1998-06-01").cast("timestamp"), 300, " O ")
 
 
 @query(_STATED + "SELECT count(*) FILTER (WHERE state = 'known') AS available, count(*) FILTER (WHERE state = 'not_present') AS failed, count(*) FILTER (WHERE state = 'unknown') AS missing FROM s")
@@ -417,7 +422,7 @@ SELECT p.event_id, min(w.label) AS label FROM events p JOIN w ON p.user_id = w.u
 def interval_join_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     windows = events.where(F.col("event_type").isin("purchase", "signup")).select("user_id", F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("e"), F.col("event_type").alias("label"))
-    return lifecycle.unique_window(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), windows, "user_id", "ts", "s", "e", "label", "event_id")
+    return lifecycle.unique_window(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), windows, "user_id", "ts", "s", "e", "label", "event_id", 6 * 3600)
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) > 50")
@@ -437,12 +442,12 @@ def registry_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.registry_sync(each(places, "s1", "s2"), now, ["name", "area", "src"])
 
 
-@query("""WITH r AS (SELECT user_id, event_id, event_type, CASE WHEN value > 3 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN props END AS body FROM events WHERE event_id % 20 = user_id % 20),
+@query("""WITH r AS (SELECT user_id, event_id, event_type, CASE WHEN value > 3 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN props END AS body FROM events),
 m AS (SELECT *, value IS NOT NULL AND coalesce(trim(body) <> '', false) AS ok FROM r)
 SELECT user_id, count(*) AS rows, count(*) FILTER (WHERE ok) AS valid_rows, arg_min(body, event_id) FILTER (WHERE ok) AS body,
 CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'invalid' WHEN count(DISTINCT CASE WHEN ok THEN event_type END) > 1 THEN 'conflict' ELSE 'import' END AS verdict FROM m GROUP BY user_id""")
 def import_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 20 = user_id % 20").select("user_id", "event_id", "event_type", F.when(F.col("value") > 3, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("body"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(F.col("value") > 3, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("body"))
     return merge.import_plan(rows, "user_id", ["value", "body"], ["body"], F.col("event_id"), "event_type").select("user_id", "rows", "valid_rows", "body", "verdict")
 
 
@@ -589,4 +594,4 @@ def same_vacancy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_observation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return streaming.drain(streaming.running_state(stream, "user_id", "ts", "event_id"), "tidemark_observation_state")
+    return streaming.drain(streaming.running_state(stream, "user_id", "ts", "event_id"))

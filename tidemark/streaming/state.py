@@ -5,25 +5,32 @@ No watermark is set anywhere: completeness is preferred to an early stop, and la
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.staging import new_folder
+
 
 def running_state(stream: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     """First sighting, last arrival and count by key; state is three values for each key, whatever the history."""
     return stream.groupBy(key).agg(F.min(ts).alias("first_seen"), F.max_by(ts, order).alias("last_seen"), F.count("*").alias("capture_count"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there now, into a table in memory, and stop: for tests and bounded results."""
+def drain(stream: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now and stop; every batch's result is a table of its own, and the last one is returned."""
     spark = stream.sparkSession
-    base = checkpoint or f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir() + '/checkpoints'}/{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", base).trigger(availableNow=True).start()
+    base = folder or new_folder(spark)
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batches/{number:09d}")
+        written.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{base}/batches/{written[-1]:09d}")
 
 
 def read_new(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -54,3 +61,22 @@ def cursor_for(cursors: DataFrame, keys: dict[str, str], cycle: str) -> int:
         df = df.where(F.col(k) == v)
     found = df.agg(F.max("offset")).first()[0]
     return int(found or 0)
+
+
+def latest_watermark(runs: DataFrame, codes: list[str]) -> str | None:
+    """Start of the latest complete fresh run whose every geography is complete; none where there is no such run.
+
+    ``runs`` has (id, kind, mode, status, started_at, stats), the last a JSON text with a status by geography.
+    """
+    if not codes:
+        return None
+    coverage = F.from_json("stats", "struct<coverage:map<string,struct<status:string>>>")["coverage"]
+    whole = F.forall(F.array(*[F.lit(c) for c in codes]), lambda c: F.coalesce(F.col("_c")[c]["status"].startswith("COMPLETE"), F.lit(False)))
+    fit = runs.where("kind = 'normal' AND mode = 'fresh' AND status = 'COMPLETE'").withColumn("_c", coverage).where(whole)
+    return fit.agg(F.max_by("started_at", "id")).first()[0]
+
+
+def incremental_cutoff(previous: Column, started: Column, overlap_minutes: int, days: int) -> Column:
+    """The time to go back to: the previous complete start less an overlap, if that lies inside the horizon; else null."""
+    back = F.timestamp_micros(F.unix_micros(previous) - overlap_minutes * 60_000_000)
+    return F.when(F.unix_micros(back) > F.unix_micros(started) - days * 86_400_000_000, back)
