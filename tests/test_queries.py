@@ -3,7 +3,7 @@
 import pytest
 
 from tests.oracle import differences
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, catalogue_reads  # noqa: F401  the second adds to the first's registry
 
 SF = "/root/testdata/sf0.001"
 

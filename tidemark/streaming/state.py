@@ -80,3 +80,21 @@ def incremental_cutoff(previous: Column, started: Column, overlap_minutes: int,
     """The time to go back to: the previous complete start less an overlap, if that lies inside the horizon; else null."""
     back = F.timestamp_micros(F.unix_micros(previous) - overlap_minutes * 60_000_000)
     return F.when(F.unix_micros(back) > F.unix_micros(started) - days * 86_400_000_000, back)
+
+
+def consumer_state(records: DataFrame, checkpoints: DataFrame, id_col: str, is_active: Column) -> DataFrame:
+    """Each consumer's checkpoint, the high-water mark and the number of active records past the checkpoint.
+
+    Counts by distance: the checkpoints are few, so the active ids are sorted into their intervals in one pass,
+    and what lies past a checkpoint is the sum of the intervals above it.
+    """
+    edges = sorted({r[0] for r in checkpoints.select("last_id").distinct().collect()})  # one for each consumer at most
+    at = F.lit(0)
+    for e in edges:
+        at = at + F.when(F.col(id_col) > e, 1).otherwise(0)
+    counts = records.where(is_active).groupBy(at.alias("_past")).agg(F.count("*").alias("_n"))
+    place = F.array_position(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("last_id").cast("long"))
+    through = records.agg(F.max(id_col).alias("through_id"))
+    met = checkpoints.withColumn("_place", place).join(F.broadcast(counts), F.col("_past") >= F.col("_place"), "left")
+    total = met.groupBy("consumer_key", "last_id").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("pending"))
+    return total.join(F.broadcast(through))
