@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Every query is written to Spark's no-op sink: all rows are computed, none are collected. Best of two after
+Every query is written to Spark's no-op sink: all rows are computed, none are collected. One timed run after
 a warm-up run.
 """
 
