@@ -15,7 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SF, WORDS, _classes, _pii
-from tidemark.llm import html, jaccard, media, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from tests.oracle import TABLES, differences
+from tidemark.llm import html, jaccard, media, packing, pii, quality_classifier, quality_rules, queries, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -225,6 +226,23 @@ def test_quality_verdicts_by_exact_quantiles(spark):
     assert {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).collect()} == want
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_rows_by_sql(spark, name):
+    for sf_dir in (SF, "/root/testdata/sf0.01"):
+        assert differences(queries.QUERIES[name](spark, sf_dir), queries.ORACLE_SQL[name], sf_dir) == ""
+
+
+def test_rules_of_odd_rows_by_sql(spark, tmp_path):
+    junk, line = "#|# " * 60, "one two three four five six\n"
+    odd = [(None, None, None, None), (1, "en", "a", ""), (1, "en", "a", ""), (2, "en", None, "a b c a b c a b c"), (3, None, "a", junk), (4, "de", "b", line * 30), (5, "de", "b", "\n\n \n\x0b"), (6, "en", "a", "\u00e4\U0001f600\u00a0x " * 70)]
+    rows = odd + [(i, "en", "a", " ".join(f"w{i * k % 97}" for k in range(60))) for i in range(10, 150)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for other in set(TABLES) - {"documents"}:
+        spark.range(0).write.parquet(str(tmp_path / f"{other}.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(quality_rules.quality_rules(docs), queries.ORACLE_SQL["op7_quality_rules"], str(tmp_path)) == ""
+
+
 # ---- op8
 
 
