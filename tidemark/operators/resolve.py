@@ -6,6 +6,8 @@ on the block's fingerprint. Cheap equalities run in the JVM; the text ratio is a
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -72,67 +74,147 @@ def evidence(a: dict, b: dict, teaser_ratio: float = 0.9, teaser_chars: int = 40
         return 1.0, "exact_rich_card"
     if _conflict(a, b):
         return None
-    ta, tb = a["n_teaser"], b["n_teaser"]
-    alike = SequenceMatcher(None, ta, tb).ratio() if min(len(ta), len(tb)) >= 25 else None
-    if alike is not None and min(len(ta), len(tb)) >= teaser_chars and alike >= teaser_ratio:
-        return alike, "strong_teaser"
+    ta, tb = a["n_teaser"] or "", b["n_teaser"] or ""
+    least, alike, texts = min(len(ta), len(tb)), None, SequenceMatcher(None, ta, tb)
+    # both quick ratios are upper bounds, so the costly one is taken only where it can decide
+    if least >= max(25, teaser_chars) and texts.real_quick_ratio() >= teaser_ratio and texts.quick_ratio() >= teaser_ratio:
+        alike = texts.ratio()
+        if alike >= teaser_ratio:
+            return alike, "strong_teaser"
     same_region = bool(a["region"]) and a["region"] == b["region"]
     if a["n_source"] and b["n_source"] and a["n_source"] != b["n_source"] and a["locality"] and (a["locality"] == b["locality"] or same_region):
         return 0.96, "cross_source_locality"
     if _signals(a, b) >= signals:
         score = BASE_SCORE + sum(w for c, w in WEIGHTS.items() if a[f"n_{c}"] and a[f"n_{c}"] == b[f"n_{c}"])
-        return min(MOST, score + (TEASER_SHARE * alike if alike is not None else 0)), "secondary_signals"
+        if least >= 25:
+            score += TEASER_SHARE * (texts.ratio() if alike is None else alike)
+        return min(MOST, score), "secondary_signals"
     return None
 
 
-def replay(block: pd.DataFrame) -> pd.DataFrame:
-    """Group one block's cards: ids ascending, each linked to its best candidate unless the groups conflict.
+#: What the rules read of a card; cards that agree in all of it are alike to every rule.
+READ = ("card", "locality", "region", *[f"n_{c}" for c in (*WEIGHTS, "teaser", "source")])
 
-    The best candidate has the least primary, then the highest evidence, then the least id. A match by
-    locality alone must be the only one of its source on either side. A merged group keeps its least id.
+
+class Grouping:
+    """Groups of one block's cards while they merge: each has its least id, its looks, its places and its localities.
+
+    A look is one combination of the fields that the rules read. Evidence holds between looks, so a block of
+    n cards with d looks compares d * d pairs, not n * n, and a card finds its best group in lists of groups by look.
     """
-    rows = block.sort_values("id").to_dict("records")
-    at = {r["id"]: r for r in rows}
-    primary = {r["id"]: r["id"] for r in rows}
-    members: dict = {r["id"]: [r["id"]] for r in rows}
-    kind: dict = {}
-    by_place: dict = {}
-    for r in rows:
-        for place in {("at", r["locality"]), ("in", r["region"])}:
-            if place[1]:
-                by_place.setdefault((r["n_source"], *place), []).append(r["id"])
 
-    def alone(a: dict, b: dict) -> bool:
-        """Whether each source has one group at the place of ``a`` or in its region: that of the card itself."""
-        if a["locality"] != b["locality"]:
+    def __init__(self, cards: list[tuple[object, tuple]]) -> None:
+        self.looks: list[dict] = []
+        self.primary: dict = {}
+        self.members: dict = {}
+        self.look_ids: dict = {}  # group: look: its least id in the group
+        self.spots: dict = {}  # group: (locality, region) of its cards
+        self.places: dict = {}  # place of a source: the groups there
+        self.group_places: dict = {}
+        self.groups_by_look: list[list] = []
+        self.matches: dict[int, dict] = {}
+        numbers: dict[tuple, int] = {}
+        self.cards = []
+        for i, fields in cards:
+            look = numbers.setdefault(fields, len(numbers))
+            if look == len(self.looks):
+                self.looks.append(dict(zip(READ, fields)))
+                self.groups_by_look.append([])
+            self._add(i, look)
+            self.cards.append((i, look))
+
+    def _add(self, i: object, look: int) -> None:
+        card = self.looks[look]
+        if i not in self.primary:
+            self.primary[i], self.members[i] = i, [i]
+            self.look_ids[i], self.spots[i], self.group_places[i] = {}, set(), set()
+        if look not in self.look_ids[i]:
+            self.look_ids[i][look] = i
+            self.groups_by_look[look].append(i)  # ids ascend
+        self.spots[i].add((card["locality"], card["region"]))
+        for place in (("at", card["locality"]), ("in", card["region"])):
+            if place[1]:
+                key = (card["n_source"], *place)
+                self.places.setdefault(key, set()).add(i)
+                self.group_places[i].add(key)
+
+    def _matches(self, look: int) -> dict:
+        """The looks that a card of this look has evidence for."""
+        if look not in self.matches:
+            found = ((other, evidence(self.looks[look], card)) for other, card in enumerate(self.looks))
+            self.matches[look] = {other: e for other, e in found if e}
+        return self.matches[look]
+
+    def _alone(self, a: int, mine: object, b: int, theirs: object) -> bool:
+        """Whether each source has one group at the place of look ``a`` or in its region: that of the card itself."""
+        at, to = self.looks[a], self.looks[b]
+        if at["locality"] != to["locality"]:
             return True  # a region match
-        for r in (a, b):
-            near = by_place.get((r["n_source"], "at", a["locality"]), []) + (by_place.get((r["n_source"], "in", a["region"]), []) if a["region"] else [])
-            if {primary[i] for i in near} != {primary[r["id"]]}:
+        for card, group in ((at, mine), (to, theirs)):
+            near = [self.places.get((card["n_source"], "at", at["locality"]), set())]
+            if at["region"]:
+                near.append(self.places.get((card["n_source"], "in", at["region"]), set()))
+            if any(len(n) > 1 for n in near) or set().union(*near) != {group}:
                 return False
         return True
 
-    for me in rows:
-        best = None
-        for other in rows:
-            if other["id"] == me["id"] or primary[other["id"]] == primary[me["id"]]:
-                continue
-            found = evidence(me, other)
-            if not found or found[1] == "cross_source_locality" and not alone(me, other):
-                continue
-            mine, theirs = members[primary[me["id"]]], members[primary[other["id"]]]
-            if any(_conflict(at[x], at[y]) for x in mine for y in theirs):
+    def _vetoed(self, a: object, b: object) -> bool:
+        return any(_conflict({"locality": p, "region": r}, {"locality": q, "region": s}) for p, r in self.spots[a] for q, s in self.spots[b])
+
+    def best(self, i: object, look: int) -> tuple[object, str] | None:
+        """The group with the least primary that the card may join, and the kind of its strongest evidence there."""
+        mine, found, last = self.primary[i], self._matches(look), None
+        for group in heapq.merge(*(self.groups_by_look[other] for other in found)):
+            if group == mine or group == last:
                 continue
-            rank = (primary[other["id"]], -found[0], other["id"])
-            if best is None or rank < best[0]:
-                best = (rank, other["id"], found[1])
-        if best:
-            a, b = sorted((primary[me["id"]], primary[best[1]]))
-            for i in members.pop(b):
-                primary[i] = a
-                members[a].append(i)
-                kind.setdefault(i, best[2])
-    return pd.DataFrame({"id": [r["id"] for r in rows], "primary_id": [primary[r["id"]] for r in rows], "match_type": [kind.get(r["id"]) if primary[r["id"]] != r["id"] else None for r in rows]})
+            last = group
+            open_to = [(-found[o][0], least, found[o][1]) for o, least in self.look_ids[group].items() if o in found and (found[o][1] != "cross_source_locality" or self._alone(look, mine, o, group))]
+            if open_to and not self._vetoed(mine, group):
+                return group, min(open_to)[2]
+        return None
+
+    def merge(self, a: object, b: object) -> list:
+        """Merge two groups under the lesser primary; the ids that got a new one."""
+        a, b = sorted((a, b))
+        moved = self.members.pop(b)
+        for i in moved:
+            self.primary[i] = a
+        self.members[a] += moved
+        for look, least in self.look_ids.pop(b).items():
+            groups = self.groups_by_look[look]
+            del groups[bisect_left(groups, b)]
+            if look in self.look_ids[a]:
+                self.look_ids[a][look] = min(self.look_ids[a][look], least)
+            else:
+                self.look_ids[a][look] = least
+                insort(groups, a)
+        self.spots[a] |= self.spots.pop(b)
+        for key in self.group_places.pop(b):
+            self.places[key].discard(b)
+            self.places[key].add(a)
+            self.group_places[a].add(key)
+        return moved
+
+
+def replay(block: pd.DataFrame) -> pd.DataFrame:
+    """Group one block's cards: ids ascending, each linked to its best candidate unless the groups conflict.
+
+    The best candidate has the least primary, then the highest evidence, then the least id. A match by
+    locality alone must be the only one of its source on either side. A merged group keeps its least id;
+    rows of one id are one card.
+    """
+    block = block.sort_values("id")
+    fields = block[list(READ)].astype(object).where(block[list(READ)].notna(), None)
+    groups = Grouping(list(zip(block["id"].tolist(), fields.itertuples(index=False, name=None))))
+    kind: dict = {}
+    for i, look in groups.cards:
+        found = groups.best(i, look)
+        if found:
+            for moved in groups.merge(groups.primary[i], found[0]):
+                kind.setdefault(moved, found[1])
+    ids = [i for i, _ in groups.cards]
+    primary = [groups.primary[i] for i in ids]
+    return pd.DataFrame({"id": ids, "primary_id": primary, "match_type": [kind.get(i) if p != i else None for i, p in zip(ids, primary)]})
 
 
 def same_vacancy(cards: DataFrame) -> DataFrame:
@@ -142,7 +224,7 @@ def same_vacancy(cards: DataFrame) -> DataFrame:
     title of one employer; cards without a block are their own primaries.
     """
     p = prepared(cards)
-    columns = ["id", "block", "card", "locality", "region", *[f"n_{c}" for c in (*WEIGHTS, "teaser", "source")]]
+    columns = ["id", "block", *READ]
     kind = cards.schema["id"].dataType.simpleString()
     schema = f"id {kind}, primary_id {kind}, match_type string"
     blocks = p.where(F.col("block").isNotNull()).select(*columns)
