@@ -3,6 +3,7 @@
 import datetime as dt
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,18 @@ def test_rebuild_and_audit(spark):
     after = resolve.rebuilt(before, cards)
     assert {r["id"]: r["primary_id"] for r in after.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
     assert [(r["id"], r["action"]) for r in resolve.link_audit(before, after).collect()] == [(2, "unlinked")]
+
+
+def test_alike_cards_are_grouped_as_by_a_plain_replay(spark):
+    places, teasers = ["Sydney", "Canberra ACT", "Braddon ACT", None], ["A teaser of well over forty characters that two boards share", "A teaser of well over forty characters that few boards share", None]
+    made = [(i * 7919 % 1009, "Analyst", "Acme", places[i % 4], f"s{i % 2}", ("Full time", None)[i % 3 % 2], None, None, None, teasers[i % 5 % 3]) for i in range(150)]
+    df = spark.createDataFrame(made, CARD)
+    assert {r["id"]: r["primary_id"] for r in resolve.same_vacancy(df).collect()} == _plain_replay([r.asDict() for r in df.collect()])
+
+
+def test_a_hot_block_of_alike_cards_compares_looks_only(monkeypatch):
+    asked, plain = [], resolve.evidence
+    monkeypatch.setattr(resolve, "evidence", lambda a, b: asked.append(1) or plain(a, b))
+    rows = pd.DataFrame([{"id": i, **dict.fromkeys(resolve.READ, ""), "card": f"c{i % 3}", "locality": ("sydney", "perth", "")[i % 3]} for i in range(5000)])
+    got = resolve.replay(rows)
+    assert got["primary_id"].tolist() == [i % 3 for i in range(5000)] and len(asked) == 9
